@@ -4,13 +4,15 @@ Documents are cut every `length` ids; the pieces of each random group are packed
 first sequence with enough room, which a tree over the sequences' free room finds in logarithmic time. Groups hold
 GROUP documents on average, so a group's pieces (numbers only, not texts) fit one task at any input size.
 
-Ids come from a tokenizers file. White-space chunks are encoded apart and remembered by each Python worker in a
-table of bounded size; the normaliser and pre-tokenizer of a file used here must not look across white space (the
-query's file does not), else pass chunked=False.
+Ids are those of a tokenizers file. If its normaliser and pre-tokenizer are known not to look across white space, the
+ids of white-space chunks are remembered by each Python worker, in a table of bounded size.
 """
 
 from __future__ import annotations
 
+import json
+import os
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -22,74 +24,97 @@ from pyspark.sql import functions as F
 from lotloom.llm.common import OWN, quoted, text_or_empty
 
 #: Documents in a group on average; chunks that a worker remembers.
-GROUP, REMEMBERED = 8192, 500_000
-#: Between chunks that are encoded together: this control character is always a token of its own.
-MARK = b"\x01"
+GROUP, REMEMBERED = 8192, 1_000_000
 
-_tokenizers: dict[str, tuple] = {}
+#: What a file must say for its words to be encoded one by one.
+_NORMALIZER = [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)]
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SUFFIX, _LAST = "</w>", b"\xff"  # the byte 0xFF is in no UTF-8 text
 
+_encoders: dict[str, Encoder] = {}
 
-class Encoder:
-    """Token ids as little-endian 32-bit bytes."""
 
-    def __init__(self, path: str, chunked: bool = True):
-        import os
+def _byte_of_char() -> dict[str, int]:
+    """Bytes behind the characters of byte-level vocabularies: printable ones stand for themselves."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
 
-        self.tokenizer, self.chunked, self.known = Tokenizer.from_file(path), chunked, {}
-        self.mark = self._ids(MARK.decode())
-
-    def _ids(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        if len(self.known) + len(chunks) > REMEMBERED:
-            self.known.clear()
-        for at in range(0, len(chunks), 4096):
-            some = chunks[at : at + 4096]
-            ids = array("I", self.tokenizer.encode((b"\n" + MARK + b"\n").join(some).decode(), add_special_tokens=False).ids)
-            mark, begin, own = int.from_bytes(self.mark, "little"), 0, []
-            for _ in range(len(some) - 1):
-                end = ids.index(mark, begin)
-                own.append(ids[begin:end].tobytes())
-                begin = end + 1
-            own.append(ids[begin:].tobytes())
-            self.known.update(zip(some, own, strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        raw = [t.encode() for t in texts]
-        # special tokens may be spelled in a text, and a mark may; both are left to the tokenizer as they are
-        plain = [self.chunked and len(self.mark) == 4 and b"<|" not in r and MARK not in r for r in raw]
-        out, block, size = [b""] * len(raw), [], 0
-        for i, r in enumerate(raw):
-            if not plain[i]:
-                out[i] = self._ids(texts[i])
-                continue
-            block.append(i)
-            size += len(r)
-            if size > 4_000_000:
-                self._block(raw, block, out)
-                block, size = [], 0
-        self._block(raw, block, out)
+class Words(dict):
+    """Ids of white-space chunks (UTF-8, A-Z in lower case) as bytes, found on demand, REMEMBERED of them at most.
+
+    A chunk is cut as the file's pre-tokenizer cuts it. Pieces go through tiktoken's merge loop over the same
+    vocabulary, a word's end being written as a byte of its own. In such a vocabulary every token comes from its own
+    merge, whose parts have lower ids, so joining the pair with the least id is joining the pair of the first merge.
+    Chunks that normalisation might change are left to the tokenizer itself.
+    """
+
+    def __init__(self, tokenizer, vocabulary: dict[str, int]):
+        import regex
+        import tiktoken
+
+        super().__init__()
+        of, ranks = _byte_of_char(), {}
+        for token, i in vocabulary.items():
+            if all(c in of for c in token.removesuffix(_SUFFIX)):
+                ranks[bytes(of[c] for c in token.removesuffix(_SUFFIX)) + _LAST * token.endswith(_SUFFIX)] = i
+        ranks[_LAST] = max(ranks.values()) + 1
+        for token in [t for t in ranks if _LAST in t[:-1]]:
+            del ranks[token]
+        self.encode = tokenizer.encode
+        self.merge = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        self.pieces = regex.compile(_PIECES).findall
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        word = chunk.decode()
+        if word.isalpha() and (word.isascii() or word == word.lower() and unicodedata.is_normalized("NFC", word)):
+            ids = self.merge(chunk + _LAST)
+        elif word.isascii():
+            ids = [i for p in self.pieces(word) for i in self.merge(p.encode() + _LAST)]
+        else:
+            ids = self.encode(word, add_special_tokens=False).ids
+        if len(self) >= REMEMBERED:
+            self.clear()
+        out = self[chunk] = array("I", ids).tobytes()
         return out
 
-    def _block(self, raw: list[bytes], block: list[int], out: list[bytes]) -> None:
-        chunks = [raw[i].lower().split() for i in block]  # A-Z and the white space of the contract
-        new = set().union(*chunks).difference(self.known)
-        self._learn(list(new))
-        get = self.known.__getitem__
-        for i, words in zip(block, chunks, strict=True):
-            out[i] = b"".join(map(get, words))
 
+class Encoder:
+    """Token ids of texts, as little-endian 32-bit bytes."""
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
 
-def encoder(path: str, chunked: bool = True) -> Encoder:
+        self.tokenizer = Tokenizer.from_file(path)
+        told = json.loads(self.tokenizer.to_str())
+        steps = [(x["type"], (x.get("pattern") or {}).get("Regex")) for x in (told["normalizer"] or {}).get("normalizers", [])]
+        cuts = (told["pre_tokenizer"] or {}).get("pretokenizers", [])
+        model = told["model"]
+        by_word = (
+            steps == _NORMALIZER
+            and [x["type"] for x in cuts] == ["Split", "ByteLevel"]
+            and cuts[0]["pattern"] == {"Regex": _PIECES} and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"]
+            and not cuts[1]["add_prefix_space"]
+            and model["type"] == "BPE" and model["end_of_word_suffix"] == _SUFFIX
+            and not (model["dropout"] or model["ignore_merges"] or model["byte_fallback"] or model["continuing_subword_prefix"])
+            and not told["truncation"] and not told["padding"]
+        )
+        self.words = Words(self.tokenizer, model["vocab"]) if by_word else None
+
+    def encode(self, text: bytes) -> bytes:
+        # special tokens that a text spells out are found across chunks, so such texts are left as they are
+        if self.words is None or b"<|" in text:
+            return array("I", self.tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.words.__getitem__, text.lower().split()))
+
+
+def encoder(path: str) -> Encoder:
     """The worker's encoder for a file; it outlives the task."""
-    key = f"{path}:{chunked}"
-    if key not in _tokenizers:
-        _tokenizers[key] = Encoder(path, chunked)
-    return _tokenizers[key]
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def first_fit_decreasing(lengths: list[int], room: int) -> list[tuple[int, int]]:
@@ -126,7 +151,6 @@ def pack(
     text_col: str = "text",
     seed: int = 0,
     with_ids: bool = False,
-    chunked: bool = True,
 ) -> DataFrame:
     """A row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if asked for.
 
@@ -147,13 +171,13 @@ def pack(
     end = array("I", [end_id]).tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer, chunked)
+        own = encoder(tokenizer)
         for batch in batches:
             names = {n: batch.column(n) for n in batch.schema.names}
-            texts = names[f"{OWN}text"].to_pylist()
+            texts = names[f"{OWN}text"].cast(pa.binary()).to_pylist()
             out: dict[str, list] = {k: [] for k in ("of", "start", "length", "crc", "ids", "tokens")}
-            for i, b in enumerate(own.encode(texts)):
-                b += end
+            for i, text in enumerate(texts):
+                b = own.encode(text) + end
                 for s in range(0, len(b), 4 * length):
                     piece = b[s : s + 4 * length]
                     out["of"].append(i)
