@@ -11,14 +11,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotloom.llm.common import OWN, UPPER, WHITE_SPACE, quoted, text_or_empty
+from lotloom.llm.common import OWN, UPPER, WHITE_SPACE, quoted, text_or_empty, written
 
 SEPARATOR = "\n"
 
 
 def line_key(line: Column) -> Column:
-    """The line without white space at its ends, A-Z in lower case."""
-    return F.translate(F.trim(line, F.lit(WHITE_SPACE)), UPPER, UPPER.lower())
+    """The line without white space at its ends, A-Z in lower case.
+
+    lower() is many times as fast as translate(), and the same where no other capitals stand.
+    """
+    bare = F.trim(line, F.lit(WHITE_SPACE))
+    plain = (F.octet_length(bare) == F.char_length(bare)) | ~bare.rlike(r"[\p{IsUppercase}\p{Lt}&&[^A-Z]]")
+    return F.when(plain, F.lower(bare)).otherwise(F.translate(bare, UPPER, UPPER.lower()))
 
 
 def _hashes(key: Column) -> list[Column]:
@@ -41,11 +46,12 @@ def drop_shared_lines(
         {own_id: F.col(quoted(id_col)), text: text_or_empty(quoted(text_col))}
     )
     rows = docs.select(own_id, text).withColumn(row, F.xxhash64(F.lit(3), text))
-    lines = (
+    lines = written(
         rows.select(own_id, row, F.posexplode(F.split(text, SEPARATOR, -1)).alias(pos, f"{OWN}line"))
         .withColumn(f"{OWN}key", line_key(F.col(f"{OWN}line")))
         .where(F.char_length(f"{OWN}key") >= min_chars)
-        .select(own_id, row, pos, *_hashes(F.col(f"{OWN}key")))
+        .select(own_id, row, pos, *_hashes(F.col(f"{OWN}key"))),
+        "lines",
     )
     hashes = [f"{OWN}h1", f"{OWN}h2"]
     shared = (
