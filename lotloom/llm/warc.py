@@ -1,9 +1,11 @@
 """WARC archives with revisit records, and a two-level capture index over them.
 
-Writing: one response record for each distinct payload, revisit records for its copies. A record is text and UTF-8
-payload, so Spark's own text sink writes it, with the record terminator as line separator: any file system Spark
-writes to will do, and the output committer deals with lost tasks. Reading: whole archives of bounded size, parsed by
-Content-Length, with every digest computed anew.
+Writing: one response record for each distinct payload, revisit records for its copies, each a gzip member of its
+own. Spark's text sink writes them, so any file system Spark writes to will do and its committer deals with lost
+tasks. The sink wants a separator after each record: it is the zero byte that ends a gzip member of less than 16 MiB
+(the top byte of its length); larger ones are followed by an empty member, which ends in zero too. Archives are
+rebalanced to the session's advisory partition size. Reading: whole archives, member by member, with every digest
+computed anew.
 
 Index: captures sorted by reversed-host URL key, cut into zlib-compressed blocks; the directory has the first key of
 each block. A lookup binary-searches the directory, opens the blocks that may hold the key and reads the records'
@@ -30,8 +32,8 @@ from lotloom.llm.common import new_path, quoted, text_or_empty
 CRLF = "\r\n"
 END = CRLF * 2
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: Bytes of records in an archive, on average; captures in an index block.
-ARCHIVE_BYTES, BLOCK_LINES = 16_000_000, 1000
+#: Captures in an index block.
+BLOCK_LINES = 1000
 
 RECORDS = T.StructType(
     [
@@ -122,34 +124,64 @@ def write_archives(
         ),
         F.lit(CRLF),
         content,
+        F.lit(END),
     )
-    total = pages.agg(F.sum("bytes"), F.count(F.lit(1))).first()
-    archives = max(1, -(-((total[0] or 0) + 600 * total[1]) // ARCHIVE_BYTES))
-    (
-        rows.select(record.alias("value"), F.xxhash64("id", "digest", "url").alias("k"))
-        .repartition(archives, "k")
-        .select("value")
-        .write.option("lineSep", END)
-        .option("compression", "none")
-        .text(path)
-    )
+    packed = rows.select(record.cast("binary").alias("value")).mapInArrow(_gzip, "value binary")
+    packed.hint("rebalance").select(F.col("value").cast("string")).write.option("lineSep", "\0").option("compression", "none").text(path)
+
+
+def member(record: bytes) -> bytes:
+    """A record as a gzip member, or as one and an empty one, so that the last byte is zero."""
+
+    def gzip(data: bytes) -> bytes:
+        c = zlib.compressobj(6, wbits=31)
+        return c.compress(data) + c.flush()
+
+    out = gzip(record)
+    return out if out[-1] == 0 else out + gzip(b"")
+
+
+def _gzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_pydict({"value": pa.array([member(r)[:-1] for r in batch.column(0).to_pylist()], pa.binary())})
+
+
+def members(content: bytes, step: int = 1 << 16) -> Iterator[tuple[int, int, bytes]]:
+    """Offset, length and data of each gzip member; an empty member is counted to the one before."""
+    view, at, held = memoryview(content), 0, None
+    while at < len(view):
+        d, parts, to = zlib.decompressobj(wbits=31), [], at
+        while not d.eof:
+            if to >= len(view):
+                raise ValueError(f"the member at byte {at} has no end")
+            parts.append(d.decompress(view[to : to + step]))
+            to += min(step, len(view) - to)
+        to -= len(d.unused_data)
+        data = b"".join(parts)
+        if data or held is None:
+            if held:
+                yield held
+            held = (at, to - at, data)
+        else:
+            held = (held[0], to - held[0], held[2])
+        at = to
+    if held:
+        yield held
 
 
 def parse(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """Offset, length, header fields (lower-case names) and payload of each record."""
-    at = 0
-    while at < len(content):
-        head_end = content.index(b"\r\n\r\n", at) + 4
-        lines = content[at:head_end].decode().split(CRLF)
+    """Offset, length, header fields (lower-case names) and payload of each record of an archive."""
+    for at, size, record in members(content):
+        head_end = record.index(b"\r\n\r\n") + 4
+        lines = record[:head_end].decode().split(CRLF)
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no WARC record at byte {at}")
         head = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:] if x)}
         end = head_end + int(head["content-length"])
-        if content[end : end + 4] != b"\r\n\r\n":
+        if record[end:] != b"\r\n\r\n":
             raise ValueError(f"the record at byte {at} does not end where it should")
-        body = content[head_end:end]
-        yield at, end + 4 - at, head, body[body.index(b"\r\n\r\n") + 4 :]
-        at = end + 4
+        body = record[head_end:end]
+        yield at, size, head, body[body.index(b"\r\n\r\n") + 4 :]
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
