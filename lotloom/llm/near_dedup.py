@@ -9,9 +9,10 @@ Documents alike word for word share a digest and are one representative from the
 all registers of a band meet in a bucket. A bucket is worked off in rounds without emitting its pairs: its first
 representative not yet linked is compared exactly with the others; those at the threshold or above are linked. As
 1 - J_P is a metric, a linked one stays only while an unlinked one may still be within reach of it, so that no link
-that the bucket could show is lost. A bucket with up to SMALL representatives left is finished at once, the pairs
-excluded by the metric left out. Buckets that are large after ROUNDS rounds are split by deeper bands of registers
-not used before, up to DEPTH times, and rounds go on to the end after that. Links are joined into classes by
+that the bucket could show is lost. Once SMALL or fewer are unlinked, the bucket is finished by comparing those with
+its other members, SMALL partners a member at most, pairs excluded by the metric left out. Buckets with more after
+ROUNDS rounds are split by deeper bands of registers not used before, up to DEPTH times, and rounds go on to the end
+after that. Links are joined into classes by
 large-star and small-star steps, all in written tables.
 """
 
@@ -32,7 +33,7 @@ from lotloom.llm.words import blocks, mix, word_hashes
 SHINGLE, THRESHOLD = 5, 0.8
 #: With similarity 0.8 a pair shares none of the 24 bands with probability (1 - 0.8**5)**24 = 7e-5.
 BANDS, BAND_ROWS = 24, 5
-SMALL, ROUNDS, DEPTH = 32, 4, 2
+SMALL, ROUNDS, DEPTH = 64, 4, 2
 
 _U = np.uint64
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -213,7 +214,7 @@ def _links(reps: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
         rounds += 1
         if not left:
             break
-        counted = active.df.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+        counted = active.df.groupBy("bucket").agg(F.count_if("open").alias("n"))
         small = active.df.join(counted.where(F.col("n") <= SMALL).select("bucket"), "bucket", "left_semi")
         other = small.select("bucket", F.col("rep").alias("rep2"), F.col("open").alias("open2"), F.col("sim").alias("sim2"))
         compared(
