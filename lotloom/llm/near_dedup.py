@@ -7,8 +7,8 @@ with their probability Jaccard similarity J_P = sum over d of 1 / sum over e of
 
 Documents alike word for word share a digest and are one representative from then on. Representatives that agree in
 all registers of a band meet in a bucket. A bucket is worked off in rounds without emitting its pairs: its first
-representative not yet linked is compared exactly with the others; those at the threshold or above are linked. As
-1 - J_P is a metric, a linked one stays only while an unlinked one may still be within reach of it, so that no link
+representative not yet linked is compared exactly with the others; those at the threshold or above are linked, and
+who is in its class already, through whatever bucket, counts as linked. As 1 - J_P is a metric, a linked one stays only while an unlinked one may still be within reach of it, so that no link
 that the bucket could show is lost. Once SMALL or fewer are unlinked, the bucket is finished by comparing those with
 its other members, SMALL partners a member at most, pairs excluded by the metric left out. Buckets with more after
 ROUNDS rounds are split by deeper bands of registers not used before, up to DEPTH times, and rounds go on to the end
@@ -33,7 +33,7 @@ from lotloom.llm.words import blocks, mix, word_hashes
 SHINGLE, THRESHOLD = 5, 0.8
 #: With similarity 0.8 a pair shares none of the 24 bands with probability (1 - 0.8**5)**24 = 7e-5.
 BANDS, BAND_ROWS = 24, 5
-SMALL, ROUNDS, DEPTH = 64, 4, 2
+SMALL, ROUNDS, DEPTH, TILE = 64, 4, 2, 64
 
 _U = np.uint64
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -146,27 +146,41 @@ def _signed(texts: DataFrame, depth: int, with_digest: bool) -> DataFrame:
 
 
 def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (a, b) with sim."""
-    with_both = (
-        pairs.join(texts.select(F.col(ROW).alias("a"), F.col(TEXT).alias("text_a")), "a")
-        .join(texts.select(F.col(ROW).alias("b"), F.col(TEXT).alias("text_b")), "b")
-        .select("a", "b", "text_a", "text_b")
+    """pairs (a, b, leader) with sim.
+
+    Pairs of a leader's bucket are dealt into tiles of about TILE by TILE members, and each text comes to a tile
+    once: a leader with many partners is sent to each tile, not to each partner, and no task holds a large group.
+    """
+    nodes = pairs.select("leader", F.explode(F.array("a", "b")).alias("node")).distinct()
+    sizes = nodes.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("n"))
+    # a leader meets its members in tiles of one row
+    part = lambda c: F.when(F.col(c) == F.col("leader"), -1).otherwise(F.pmod(F.xxhash64(c), F.col("n")))
+    tiled = written(pairs.join(sizes, "leader").select(F.xxhash64("leader", part("a"), part("b")).alias("tile"), "a", "b"), "tiles")
+    needed = tiled.select("tile", F.explode(F.array("a", "b")).alias(ROW)).distinct().join(texts.select(ROW, TEXT), ROW)
+    rows = needed.select("tile", F.col(ROW).alias("a"), F.lit(None).cast("long").alias("b"), F.col(TEXT).alias("text")).unionByName(
+        tiled.withColumn("text", F.lit(None).cast("string"))
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held, sets = None, {}, {}
         for batch in batches:
-            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            sims = []
-            for at in range(0, len(left), 64):
-                # a leader's text comes with each of its partners
-                some = [(t or "").encode() for t in left[at : at + 64] + right[at : at + 64]]
-                distinct = list(dict.fromkeys(some))
-                sets = dict(zip(distinct, shingle_counts(distinct), strict=True))
-                half = len(some) // 2
-                sims += [prob_jaccard(sets[x], sets[y]) for x, y in zip(some[:half], some[half:], strict=True)]
-            yield pa.RecordBatch.from_pydict({"a": batch.column(0), "b": batch.column(1), "sim": pa.array(sims, pa.float64())})
-
-    return with_both.mapInArrow(compare, "a long, b long, sim double")
+            out: list[tuple[int, int, float]] = []
+            for t, x, y, body in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if t != tile:
+                    tile, held, sets = t, {}, {}
+                if y is None:
+                    held[x] = body.encode()
+                    continue
+                if held:  # all texts of a tile come before its pairs
+                    sets |= zip(held, shingle_counts(list(held.values())), strict=True)
+                    held = {}
+                out.append((x, y, prob_jaccard(sets[x], sets[y])))
+            if out:
+                xs, ys, sims = zip(*out, strict=True)
+                yield pa.RecordBatch.from_pydict({"a": pa.array(xs, pa.int64()), "b": pa.array(ys, pa.int64()), "sim": pa.array(sims, pa.float64())})
+
+    dealt = rows.repartition("tile").sortWithinPartitions("tile", F.col("b").isNotNull())
+    return dealt.select("tile", "a", "b", "text").mapInArrow(compare, "a long, b long, sim double")
 
 
 def _pair(x: Column, y: Column) -> list[Column]:
@@ -174,53 +188,57 @@ def _pair(x: Column, y: Column) -> list[Column]:
 
 
 def _links(reps: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Verified links (a, b) with a < b between representatives' rows."""
+    """Verified links (a, b) with a < b between representatives' rows, enough of them to join every class."""
     reach = 1 - threshold + 1e-9
     known: DataFrame | None = None  # all pairs compared so far: (a, b, sim)
 
     def working(rows: DataFrame) -> tuple[Table, int]:
         """Members of buckets with an unlinked and another member."""
-        sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("open").cast("int")).alias("n_open")).where("n > 1 and n_open > 0")
+        sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if("open").alias("n_open")).where("n > 1 and n_open > 0")
         table = Table(rows.join(sizes.select("bucket"), "bucket", "left_semi"), "buckets")
         return table, table.df.count()
 
-    def bucketed(signed: DataFrame) -> DataFrame:
-        return signed.select(F.explode("bands").alias("bucket"), F.col(ROW).alias("rep"), F.lit(True).alias("open"))
-
     def compared(pairs: DataFrame) -> DataFrame:
         nonlocal known
-        pairs = pairs.distinct()
+        pairs = pairs.groupBy("a", "b").agg(F.min("leader").alias("leader"))
         fresh = pairs if known is None else pairs.join(known, ["a", "b"], "left_anti")
-        sims = written(_compared(fresh, texts), "sims")
-        known = sims if known is None else known.unionByName(sims)
+        sims = _compared(written(fresh, "pairs"), texts)
+        known = written(sims if known is None else known.unionByName(sims), "sims")
         return known
 
-    active, left = working(bucketed(reps))
+    def links() -> DataFrame:
+        return known.where(F.col("sim") >= threshold).select("a", "b")
+
+    active, left = working(reps.select(F.explode("bands").alias("bucket"), F.col(ROW).alias("rep"), F.lit(True).alias("open")))
     if left:  # from here on, only texts that share a bucket are needed
         texts = written(texts.join(active.df.select(F.col("rep").alias(ROW)).distinct(), ROW, "left_semi"), "met")
     depth = rounds = 0
     while left:
-        first = active.df.groupBy("bucket").agg(F.min(F.when(F.col("open"), F.col("rep"))).alias("leader"), F.count(F.lit(1)).alias("n"))
-        led = active.df.join(first, "bucket")
-        sims = compared(led.where("rep != leader").select(*_pair(F.col("rep"), F.col("leader"))))
-        near = led.where("rep != leader").withColumns(dict(zip(("a", "b"), _pair(F.col("rep"), F.col("leader")), strict=True)))
-        near = near.join(sims, ["a", "b"]).withColumn("open", F.col("open") & (F.col("sim") < threshold))
-        # a member linked to the leader matters only within reach of one that is still unlinked
+        first = active.df.groupBy("bucket").agg(F.min(F.when(F.col("open"), F.col("rep"))).alias("leader"))
+        led = active.df.join(first, "bucket").where("rep != leader").select("bucket", "rep", "open", "leader", *_pair(F.col("rep"), F.col("leader")))
+        sims = compared(led.select("a", "b", "leader"))
+        # who is in the leader's class by now, through this bucket or another, needs no link to it
+        roots = written(components(links()), "classes")
+        near = led.join(sims, ["a", "b"]).join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
+        near = near.join(roots.select(F.col("node").alias("leader"), F.col("root").alias("to")), "leader", "left")
+        near = near.withColumn("root", F.coalesce("root", "rep")).withColumn("to", F.coalesce("to", "leader"))
+        near = near.withColumn("open", F.col("open") & (F.col("root") != F.col("to"))).select("bucket", "rep", "open", "sim", "root", "leader")
+        # and matters only within reach of one that is still unlinked
         bounds = near.where("open").groupBy("bucket").agg(F.min("sim").alias("low"), F.max("sim").alias("high"))
         stay = near.join(bounds, "bucket").where(F.col("open") | F.col("sim").between(F.col("low") - reach, F.col("high") + reach))
         last = active
-        active, left = working(stay.select("bucket", "rep", "open", "sim"))
+        active, left = working(stay.select("bucket", "rep", "open", "sim", "root", "leader"))
         last.drop()
         rounds += 1
         if not left:
             break
         counted = active.df.groupBy("bucket").agg(F.count_if("open").alias("n"))
         small = active.df.join(counted.where(F.col("n") <= SMALL).select("bucket"), "bucket", "left_semi")
-        other = small.select("bucket", F.col("rep").alias("rep2"), F.col("open").alias("open2"), F.col("sim").alias("sim2"))
+        other = small.select("bucket", F.col("rep").alias("rep2"), F.col("open").alias("open2"), F.col("sim").alias("sim2"), F.col("root").alias("root2"))
         compared(
             small.where("open").join(other, "bucket")
-            .where((F.col("rep") != F.col("rep2")) & (~F.col("open2") | (F.col("rep") < F.col("rep2"))) & (F.abs(F.col("sim") - F.col("sim2")) <= reach))
-            .select(*_pair(F.col("rep"), F.col("rep2")))
+            .where((F.col("root") != F.col("root2")) & (~F.col("open2") | (F.col("rep") < F.col("rep2"))) & (F.abs(F.col("sim") - F.col("sim2")) <= reach))
+            .select(*_pair(F.col("rep"), F.col("rep2")), "leader")
         )
         large = active.df.join(counted.where(F.col("n") > SMALL).select("bucket"), "bucket", "left_semi").select("bucket", "rep", "open")
         if rounds % ROUNDS == 0 and depth < DEPTH:
@@ -233,8 +251,8 @@ def _links(reps: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
         active, left = working(large)
         last.drop()
     if known is None:
-        return reps.select(F.col(ROW).alias("a"), F.col(ROW).alias("b"), F.lit(1.0).alias("sim")).where("false")
-    return known.where(F.col("sim") >= threshold).distinct()
+        return reps.select(F.col(ROW).alias("a"), F.col(ROW).alias("b")).where("false")
+    return links()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -264,35 +282,34 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _classes(texts: DataFrame, threshold: float) -> DataFrame:
-    """ROW, ID, class_id, class_size, n_links, kept for every row of texts (ROW, ID, TEXT)."""
+    """ROW, ID, class_id, class_size, kept for every row of texts (ROW, ID, TEXT)."""
     signed = written(_signed(texts, 0, True), "signatures")
     least = F.min(F.struct(F.col(ID).isNull().alias("n"), F.col(ID).alias("i"), F.col(ROW).alias("r"))).alias("first")
     copies = written(signed.groupBy("digest").agg(least, F.count(F.lit(1)).alias("copies")), "copies")
     reps = signed.join(copies.select(F.col("first.r").alias(ROW)), ROW, "left_semi").select(ROW, "bands")
     links = written(_links(written(reps, "representatives"), texts.select(ROW, TEXT), threshold), "links")
     roots = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    rep = copies.withColumn("node", F.col("first.r")).join(roots, "node", "left").join(degree, "node", "left")
-    rep = rep.select("digest", F.coalesce("root", "node").alias("root"), "first", "copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    rep = copies.withColumn("node", F.col("first.r")).join(roots, "node", "left")
+    rep = rep.select("digest", F.coalesce("root", "node").alias("root"), "first", "copies")
     rep = written(rep, "roots")
     whole = rep.groupBy("root").agg(F.min("first").alias("best"), F.sum("copies").alias("class_size"))
-    of_digest = rep.select("digest", "root", "n_links").join(whole, "root").select("digest", "best", "class_size", "n_links")
+    of_digest = rep.select("digest", "root").join(whole, "root").select("digest", "best", "class_size")
     return signed.select(ROW, ID, "digest").join(of_digest, "digest").select(
-        ROW, ID, F.col("best.i").alias("class_id"), "class_size", "n_links", (F.col("best.r") == F.col(ROW)).alias("kept")
+        ROW, ID, F.col("best.i").alias("class_id"), "class_size", (F.col("best.r") == F.col(ROW)).alias("kept")
     )
 
 
 def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """A row for each row of df: its id, class_id, class_size, n_links and kept.
+    """A row for each row of df: its id, class_id, class_size and kept.
 
     Texts alike word for word (A-Z in lower case) are copies and in one class; so are all texts without words, null
     included. Representatives of copies whose similarity is the threshold or more are linked, and linked ones are in
     one class. class_id is the class's least id (null only if none has an id); the first row with that id is kept.
-    n_links counts the links of the text with other texts. Repeated ids are rows of their own. An empty table gives
+    Repeated ids are rows of their own. An empty table gives
     an empty result; other columns are not read.
     """
     texts = written(df.select(F.col(quoted(id_col)).alias(ID), text_or_empty(quoted(text_col)).alias(TEXT), F.monotonically_increasing_id().alias(ROW)), "texts")
-    return _classes(texts, threshold).select(F.col(ID).alias(id_col), "class_id", "class_size", "n_links", "kept")
+    return _classes(texts, threshold).select(F.col(ID).alias(id_col), "class_id", "class_size", "kept")
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
