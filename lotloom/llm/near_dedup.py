@@ -187,7 +187,7 @@ def _pair(x: Column, y: Column) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _links(reps: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def _links(reps: DataFrame, texts: DataFrame, threshold: float, all_texts: Table | None = None) -> DataFrame:
     """Verified links (a, b) with a < b between representatives' rows, enough of them to join every class."""
     reach = 1 - threshold + 1e-9
     known: DataFrame | None = None  # all pairs compared so far: (a, b, sim)
@@ -212,6 +212,8 @@ def _links(reps: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     active, left = working(reps.select(F.explode("bands").alias("bucket"), F.col(ROW).alias("rep"), F.lit(True).alias("open")))
     if left:  # from here on, only texts that share a bucket are needed
         texts = written(texts.join(active.df.select(F.col("rep").alias(ROW)).distinct(), ROW, "left_semi"), "met")
+        if all_texts:
+            all_texts.drop()
     depth = rounds = 0
     while left:
         first = active.df.groupBy("bucket").agg(F.min(F.when(F.col("open"), F.col("rep"))).alias("leader"))
@@ -281,13 +283,16 @@ def components(links: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def _classes(texts: DataFrame, threshold: float) -> DataFrame:
-    """ROW, ID, class_id, class_size, kept for every row of texts (ROW, ID, TEXT)."""
+def _classes(texts: DataFrame, threshold: float, table: Table | None = None) -> DataFrame:
+    """ROW, ID, class_id, class_size, kept for every row of texts (ROW, ID, TEXT).
+
+    table is what texts reads, if nobody needs it afterwards.
+    """
     signed = written(_signed(texts, 0, True), "signatures")
     least = F.min(F.struct(F.col(ID).isNull().alias("n"), F.col(ID).alias("i"), F.col(ROW).alias("r"))).alias("first")
     copies = written(signed.groupBy("digest").agg(least, F.count(F.lit(1)).alias("copies")), "copies")
     reps = signed.join(copies.select(F.col("first.r").alias(ROW)), ROW, "left_semi").select(ROW, "bands")
-    links = written(_links(written(reps, "representatives"), texts.select(ROW, TEXT), threshold), "links")
+    links = written(_links(written(reps, "representatives"), texts.select(ROW, TEXT), threshold, table), "links")
     roots = components(links)
     rep = copies.withColumn("node", F.col("first.r")).join(roots, "node", "left")
     rep = rep.select("digest", F.coalesce("root", "node").alias("root"), "first", "copies")
@@ -308,8 +313,8 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Repeated ids are rows of their own. An empty table gives
     an empty result; other columns are not read.
     """
-    texts = written(df.select(F.col(quoted(id_col)).alias(ID), text_or_empty(quoted(text_col)).alias(TEXT), F.monotonically_increasing_id().alias(ROW)), "texts")
-    return _classes(texts, threshold).select(F.col(ID).alias(id_col), "class_id", "class_size", "kept")
+    table = Table(df.select(F.col(quoted(id_col)).alias(ID), text_or_empty(quoted(text_col)).alias(TEXT), F.monotonically_increasing_id().alias(ROW)), "texts")
+    return _classes(table.df, threshold, table).select(F.col(ID).alias(id_col), "class_id", "class_size", "kept")
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
