@@ -6,8 +6,10 @@ plan is a nested loop over everything; inside a lot every pair counts, because e
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from lotloom.functions import scores, text
 from lotloom.functions.similarity import window_similarity
@@ -97,11 +99,7 @@ def strict_assignments(documents: DataFrame, candidates: DataFrame) -> DataFrame
 
 
 def recon_candidates(found: DataFrame) -> DataFrame:
-    """Every pair with the scores of reconciliation (F21, F22, P11, F11) and its ranks by document and row.
-
-    Scores are rounded as doubles are by Python: the value nearest to the double's own digits, which `format_number`
-    of the exact decimal expansion gives and round() on a shortened decimal does not.
-    """
+    """Every pair with the scores of reconciliation (F21, F22, P11, F11) and its ranks by document and row."""
     order, number = F.col("order_exact"), F.col("client_exact")
     client, distributor = F.col("client_score"), F.col("distributor_score")
     raw = scores.global_score(order, number, client, distributor)
@@ -120,9 +118,13 @@ def recon_candidates(found: DataFrame) -> DataFrame:
 
 
 def rounded(c: Column, places: int) -> Column:
-    """Round half to even on the double's exact value."""
-    exact = c.cast("double").cast(f"decimal(38,{places + 12})")
-    return F.bround(exact, places).cast("double")
+    """Rounding of the double's exact binary value, as Python does it; Spark rounds its shortest decimal form."""
+
+    @F.pandas_udf(DoubleType())
+    def exact(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: round(v, places))
+
+    return exact(c.cast("double"))
 
 
 def signature() -> Column:
