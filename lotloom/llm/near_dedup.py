@@ -8,11 +8,12 @@ with their probability Jaccard similarity J_P = sum over d of 1 / sum over e of
 Documents alike word for word share a digest and are one representative from then on. Representatives that agree in
 all registers of a band meet in a bucket. A bucket is worked off in rounds without emitting its pairs: its first
 representative not yet linked is compared exactly with the others; those at the threshold or above are linked, and
-who is in its class already, through whatever bucket, counts as linked. As 1 - J_P is a metric, a linked one stays only while an unlinked one may still be within reach of it, so that no link
-that the bucket could show is lost. Once SMALL or fewer are unlinked, the bucket is finished by comparing those with
-its other members, SMALL partners a member at most, pairs excluded by the metric left out. Buckets with more after
-ROUNDS rounds are split by deeper bands of registers not used before, up to DEPTH times, and rounds go on to the end
-after that. Links are joined into classes by
+who is in its class already, through whatever bucket, counts as linked. Once SMALL or fewer are unlinked, they are
+compared with the bucket's other members. Buckets with more after ROUNDS rounds are split by deeper bands of
+registers not used before, up to DEPTH times, and rounds go on to the end after that. The rounds find most links with
+few comparisons, but not those between members linked to different leaders. So in the end each bucket with members of
+different classes compares every pair of such members. As 1 - J_P is a metric, pairs whose similarities to a leader
+are too far apart are left out everywhere; no link that a bucket could show is lost. Links are joined into classes by
 large-star and small-star steps, all in written tables.
 """
 
@@ -215,6 +216,7 @@ def _links(reps: DataFrame, texts: DataFrame, threshold: float, all_texts: Table
         if all_texts:
             all_texts.drop()
     depth = rounds = 0
+    members: DataFrame | None = None  # of the first buckets, with sim to the bucket's first leader
     while left:
         first = active.df.groupBy("bucket").agg(F.min(F.when(F.col("open"), F.col("rep"))).alias("leader"))
         led = active.df.join(first, "bucket").where("rep != leader").select("bucket", "rep", "open", "leader", *_pair(F.col("rep"), F.col("leader")))
@@ -223,6 +225,8 @@ def _links(reps: DataFrame, texts: DataFrame, threshold: float, all_texts: Table
         roots = written(components(links()), "classes")
         near = led.join(sims, ["a", "b"]).join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
         near = near.join(roots.select(F.col("node").alias("leader"), F.col("root").alias("to")), "leader", "left")
+        if members is None:
+            members = written(led.join(sims, ["a", "b"]).select("bucket", "rep", "leader", "sim"), "members")
         near = near.withColumn("root", F.coalesce("root", "rep")).withColumn("to", F.coalesce("to", "leader"))
         near = near.withColumn("open", F.col("open") & (F.col("root") != F.col("to"))).select("bucket", "rep", "open", "sim", "root", "leader")
         # and matters only within reach of one that is still unlinked
@@ -245,15 +249,23 @@ def _links(reps: DataFrame, texts: DataFrame, threshold: float, all_texts: Table
         large = active.df.join(counted.where(F.col("n") > SMALL).select("bucket"), "bucket", "left_semi").select("bucket", "rep", "open")
         if rounds % ROUNDS == 0 and depth < DEPTH:
             depth += 1
-            members = written(large.select("bucket", F.col("rep").alias(ROW), "open"), "large")
-            signed = _signed(texts.join(members.select(ROW).distinct(), ROW, "left_semi"), depth, False)
-            deep = members.join(signed, ROW).select("bucket", F.explode("bands").alias("band"), F.col(ROW).alias("rep"), "open")
+            split = written(large.select("bucket", F.col("rep").alias(ROW), "open"), "large")
+            signed = _signed(texts.join(split.select(ROW).distinct(), ROW, "left_semi"), depth, False)
+            deep = split.join(signed, ROW).select("bucket", F.explode("bands").alias("band"), F.col(ROW).alias("rep"), "open")
             large = deep.withColumn("bucket", F.xxhash64("bucket", "band")).drop("band")
         last = active
         active, left = working(large)
         last.drop()
-    if known is None:
+    if known is None or members is None:
         return reps.select(F.col(ROW).alias("a"), F.col(ROW).alias("b")).where("false")
+    # members linked to different leaders have not met yet
+    roots = components(links()).select(F.col("node").alias("rep"), "root")
+    of_class = written(members.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "members-of-classes")
+    mixed = of_class.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("bucket")
+    mine = of_class.join(mixed, "bucket", "left_semi")
+    other = mine.select("bucket", F.col("rep").alias("rep2"), F.col("sim").alias("sim2"), F.col("root").alias("root2"))
+    met = mine.join(other, "bucket").where((F.col("root") < F.col("root2")) & (F.abs(F.col("sim") - F.col("sim2")) <= reach))
+    compared(met.select(*_pair(F.col("rep"), F.col("rep2")), "leader"))
     return links()
 
 

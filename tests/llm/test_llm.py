@@ -150,6 +150,27 @@ def test_near_dedup(spark, docs):
     assert near_dedup.near_classes(docs).count() == 6 and near_dedup.near_classes(docs.limit(0)).count() == 0
 
 
+def test_near_dedup_bridge_between_closed_members(spark):
+    """Two groups in one bucket, each linked to a leader of its own, are one class through a single pair of members."""
+    a, b = [f"a{i}" for i in range(200)], [f"b{i}" for i in range(200)]
+    mixed = lambda k: a[: 200 - k] + b[200 - k :]
+    variants = lambda words, n: [words[:i] + [f"v{i}"] + words[i + 1 :] for i in range(n)]
+    groups = [mixed(0), *variants(mixed(0), 150), mixed(14), mixed(41), *variants(mixed(41), 150), mixed(27)]
+    texts = [" ".join(w) for w in groups]
+    sets = near_dedup.shingle_counts([t.encode() for t in texts])
+    root = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if root[i] != root[j] and near_dedup.prob_jaccard(sets[i], sets[j]) >= 0.8:
+                a_, b_ = root[i], root[j]
+                root = [min(a_, b_) if r in (a_, b_) else r for r in root]
+    assert set(root) == {0} and near_dedup.prob_jaccard(sets[0], sets[152]) < 0.8
+    reps = spark.createDataFrame([(i, [1]) for i in range(len(texts))], f"{near_dedup.ROW} long, bands array<long>")
+    rows = spark.createDataFrame(list(enumerate(texts)), f"{near_dedup.ROW} long, {near_dedup.TEXT} string")
+    got = near_dedup.components(near_dedup._links(reps, rows, 0.8))
+    assert {r.node: r.root for r in got.collect()} == dict(enumerate(root))
+
+
 def test_prob_min_hash_estimates_similarity():
     a = (np.arange(1, 60, dtype=np.uint64), np.arange(1, 60) % 5 + 1.0)
     b = (np.arange(10, 75, dtype=np.uint64), np.arange(10, 75) % 4 + 1.0)
