@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from lotloom.llm.common import OWN, quoted, text_or_empty
 
 ROUNDS = 8
+#: Digits permuted at once, and the longest local part of a mail address.
+CHUNK, LOCAL = 26, 64
 #: Dates are days from here; 271 * 270 is the least such product at or above their number.
 FIRST_DAY, DAYS, DAY_A, DAY_B = "1900-01-01", 73049, 271, 270
 EXCESS = DAY_A * DAY_B - DAYS
@@ -63,16 +65,27 @@ def _div(x: Column, by: int) -> Column:
     return (x - x % by) / by
 
 
-def permuted_digits(digits: Column, key: str, kind: str, base: int = 10) -> Column:
-    """A permutation of the digit strings of the same length, up to 26 digits; longer ones keep what follows."""
-    head = F.substring(digits, 1, 26)
-    n = F.char_length(head)
+def permuted_digits(digits: Column, key: str, kind: str, base: int = 10, most: int = CHUNK) -> Column:
+    """A permutation of the digit strings of the same length, up to `most` digits.
+
+    Each CHUNK of digits is permuted by itself, keyed by its place and the digits before it.
+    """
+    chunks = []
+    for at in range(0, most, CHUNK):
+        chunk = F.substring(digits, at + 1, CHUNK)
+        of = F.concat(F.lit(f"{kind}/{at}/"), F.substring(digits, 1, at)) if at else F.lit(kind)
+        chunks.append(F.when(chunk != "", _permuted_chunk(chunk, key, of, base)).otherwise(F.lit("")))
+    return F.concat(*chunks)
+
+
+def _permuted_chunk(digits: Column, key: str, kind: Column, base: int) -> Column:
+    n = F.char_length(digits)
     u = F.floor(n / 2).cast("int")
     v = n - u
     number = lambda s: F.coalesce(F.conv(F.when(s != "", s), base, 10).cast("long"), F.lit(0).cast("long"))
-    a, b = _network(number(F.substr(head, F.lit(1), u)), number(F.substr(head, u + 1, v)), _power(base, u), _power(base, v), key, F.lit(kind))
+    a, b = _network(number(F.substr(digits, F.lit(1), u)), number(F.substr(digits, u + 1, v)), _power(base, u), _power(base, v), key, kind)
     text = lambda x, size: F.when(size == 0, F.lit("")).otherwise(F.lpad(F.conv(x.cast("string"), 10, base), size, "0"))
-    return F.concat(text(a, u), text(b, v), F.substr(digits, F.lit(27), F.lit(1 << 30)))
+    return F.concat(text(a, u), text(b, v))
 
 
 def refilled(form: Column, chars: Column, which: str) -> Column:
@@ -177,8 +190,8 @@ def _email(m: Column, key: str) -> tuple[Column, Column]:
     # a-z as the base-26 digits 0-9 and a-p
     base = "0123456789abcdefghijklmnop"
     az = "abcdefghijklmnopqrstuvwxyz"
-    new = F.translate(F.lower(permuted_digits(F.translate(letters, az, base), key, "mail-letters", 26)), base, az)
-    out = refilled(refilled(local, new, "[A-Za-z]"), permuted_digits(digits, key, "mail-digits"), "[0-9]")
+    new = F.translate(F.lower(permuted_digits(F.translate(letters, az, base), key, "mail-letters", 26, LOCAL)), base, az)
+    out = refilled(refilled(local, new, "[A-Za-z]"), permuted_digits(digits, key, "mail-digits", most=LOCAL), "[0-9]")
     return F.lit(True), F.concat(out, F.substr(m, F.char_length(local) + 1, F.lit(1 << 20)))
 
 

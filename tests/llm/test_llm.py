@@ -194,6 +194,18 @@ def test_pii(spark, docs):
     assert pii.pseudonymise(docs, "k").count() == 6
 
 
+def _pseudonyms(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r for r in pii.pseudonymise(df, "k").orderBy("doc_id").collect()]
+
+
+def test_pii_long_mail_names(spark):
+    names = ["abcdefghijklmnopqrstuvwxyz" + x for x in ("", "a", "b", "firstmiddlelastdepartment", "x" * 38)] + ["1" * 26 + "2" * 30, "b" + "a" * 25 + "firstmiddlelastdepartment"]
+    got = [r.text.split("@")[0] for r in _pseudonyms(spark, [f"{n}@mail.example.com" for n in names])]
+    assert [len(g) for g in got] == [len(n) for n in names] and len(set(got)) == len(names) and got[1][:26] == got[0]
+    assert all(g[26:] != n[26:] for g, n in zip(got[3:], names[3:], strict=True)) and got[3][26:] != got[6][26:]
+
+
 def test_quality(spark, docs):
     rng = random.Random(5)
     good = lambda: " ".join(rng.choice(["the", "of", "house", "tree", "and", "river"]) for _ in range(60)) + "."
