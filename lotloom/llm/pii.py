@@ -21,19 +21,23 @@ CHUNK, LOCAL = 26, 64
 FIRST_DAY, DAYS, DAY_A, DAY_B = "1900-01-01", 73049, 271, 270
 EXCESS = DAY_A * DAY_B - DAYS
 
-LEFT, RIGHT = r"(?<![\w.@-])", r"(?![\w@]|[.-]\w)"
+
+def _alone(body: str, own: str) -> str:
+    """A value that no digit continues, neither directly nor over the value's own separators; letters may touch it."""
+    return rf"(?<!\d)(?<!\d[{own}])(?:{body})(?!\d|[{own}]\d)"
+
+
+#: Card numbers alone may not be joined over letters, '.' or '-' to further digits: hashes and decimal numbers have long runs.
+CARD_LEFT, CARD_RIGHT = r"(?<!\d)(?<!\d[A-Za-z_.-]{1,8})", r"(?!\d|[A-Za-z_.-]{1,8}\d)"
 PATTERNS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])",
-    "ip": LEFT + r"\d{1,3}(?:\.\d{1,3}){3}" + RIGHT,
-    "date": LEFT + r"(?:\d{4}([/.-])\d{1,2}\1\d{1,2}|\d{1,2}([/.-])\d{1,2}\2\d{4})" + RIGHT,
-    "ssn": LEFT + r"\d{3}-\d{2}-\d{4}" + RIGHT,
-    "phone": r"(?<![\w+.@-])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){1,4}" + RIGHT + "|" + LEFT + r"(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}" + RIGHT,
-    "card": LEFT + r"\d(?:[ -]?\d){12,18}" + RIGHT,
+    "ip": _alone(r"\d{1,3}(?:\.\d{1,3}){3}", "."),
+    "date": "|".join(_alone(rf"\d{{4}}{s}\d{{1,2}}{s}\d{{1,2}}|\d{{1,2}}{s}\d{{1,2}}{s}\d{{4}}", s) for s in ("/", r"\.", "-")),
+    "ssn": _alone(r"\d{3}-\d{2}-\d{4}", "-"),
+    "phone": r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){1,4}(?!\d|[.-]\d)|" + _alone(r"(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}", ".-"),
+    "card": CARD_LEFT + r"\d(?:[ -]?\d){12,18}" + CARD_RIGHT,
 }
 KINDS = list(PATTERNS)
-#: In the joint expression the dates' back references count from other groups.
-_DATE = LEFT + r"(?:\d{4}(?:/\d{1,2}/|\.\d{1,2}\.|-\d{1,2}-)\d{1,2}|\d{1,2}(?:/\d{1,2}/|\.\d{1,2}\.|-\d{1,2}-)\d{4})" + RIGHT
-PATTERNS["date"] = _DATE
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 

@@ -206,6 +206,13 @@ def test_pii_long_mail_names(spark):
     assert all(g[26:] != n[26:] for g, n in zip(got[3:], names[3:], strict=True)) and got[3][26:] != got[6][26:]
 
 
+def test_pii_beside_letters_and_words(spark):
+    joined = ["2024-01-15T10:00:00Z", "10.0.0.1-10.0.0.9", "on2024-01-15.Then", "ip:10.0.0.1.example", "ssn123-45-6789x", "550e8400-e29b-41d4-a716-446655440000", "0.4111111111111111", "1.2.3.4.5", "No4111111111111111USD"]
+    day, first, last, *got = _pseudonyms(spark, ["2024-01-15", "10.0.0.1", "10.0.0.9", *joined])
+    assert [r.text for r in got[:4]] == [f"{day.text}T10:00:00Z", f"{first.text}-{last.text}", f"on{day.text}.Then", f"ip:{first.text}.example"]
+    assert (got[1].n_ip, got[0].n_date, got[4].n_ssn, got[8].n_card) == (2, 1, 1, 1) and [r.text for r in got[5:8]] == joined[5:8]
+
+
 def test_quality(spark, docs):
     rng = random.Random(5)
     good = lambda: " ".join(rng.choice(["the", "of", "house", "tree", "and", "river"]) for _ in range(60)) + "."
