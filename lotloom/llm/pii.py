@@ -9,6 +9,8 @@ there the permutation walks on while it is outside, EXCESS + 1 steps at most. On
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,15 +30,16 @@ def _alone(body: str, own: str) -> str:
 
 
 #: Card numbers alone may not be joined over letters, '.' or '-' to further digits: hashes and decimal numbers have long runs.
-CARD_LEFT, CARD_RIGHT = r"(?<!\d)(?<!\d[A-Za-z_.-]{1,8})", r"(?!\d|[A-Za-z_.-]{1,8}\d)"
+CARD_LEFT, CARD_RIGHT = r"(?<!\d)(?<!\d[A-Za-z_.-]{1,8})", r"(?!\d|(?!-\d)[A-Za-z_.-]{1,8}\d)"
 PATTERNS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])",
     "ip": _alone(r"\d{1,3}(?:\.\d{1,3}){3}", "."),
     "date": "|".join(_alone(rf"\d{{4}}{s}\d{{1,2}}{s}\d{{1,2}}|\d{{1,2}}{s}\d{{1,2}}{s}\d{{4}}", s) for s in ("/", r"\.", "-")),
     "ssn": _alone(r"\d{3}-\d{2}-\d{4}", "-"),
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){1,4}(?!\d|[.-]\d)|" + _alone(r"(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}", ".-"),
-    "card": CARD_LEFT + r"\d(?:[ -]?\d){12,18}" + CARD_RIGHT,
 }
+#: A whole chain of digit groups, up to where another value begins; possessive, so that long chains need no stack.
+PATTERNS["card"] = CARD_LEFT + r"(?=\d(?:[ -]?\d){12})\d++" + CARD_RIGHT + r"(?:[ -](?!" + "|".join(PATTERNS.values()) + r")\d++" + CARD_RIGHT + ")*+"
 KINDS = list(PATTERNS)
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
@@ -124,11 +127,59 @@ def luhn_sum(digits: Column) -> Column:
     )["sum"]
 
 
-def _card(m: Column, key: str) -> tuple[Column, Column]:
-    d = _digits(m)
-    body = permuted_digits(F.substr(d, F.lit(1), F.char_length(d) - 1), key, "card")
-    check = F.pmod(-luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
-    return F.char_length(d).between(13, 19) & (luhn_sum(d) % 10 == 0), refilled(m, F.concat(body, check), "[0-9]")
+def _card(m: Column, key: str) -> tuple[Column, Column, Column]:
+    """Whether a chain of digit groups has runs of whole groups that are valid, the chain with these replaced, and their number.
+
+    Of runs that overlap, one of 16 digits goes first, then the longest, then the leftmost.
+    """
+    got = _let(F.regexp_extract_all(m, F.lit(r"[ -]?\d+"), F.lit(0)), lambda groups: _let(_chosen(groups), lambda chosen: _with_pseudonyms(groups, chosen, key)))
+    return got["n"] > 0, got["s"], got["n"]
+
+
+def _let(value: Column, result: Callable[[Column], Column]) -> Column:
+    """result of a value that is computed once, however often it is named there."""
+    return F.transform(F.array(value), result)[0]
+
+
+def _run(groups: Column, at: Column, size: Column) -> Column:
+    return F.array_join(F.slice(groups, at + 1, size), "")
+
+
+def _chosen(groups: Column) -> Column:
+    """The runs (at, size) of groups to be replaced."""
+    n = F.size(groups)
+    runs = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(
+        F.sequence(F.lit(1), F.least(n - i, F.lit(19))), lambda k: F.struct(i.alias("at"), k.alias("size"), _digits(_run(groups, i, k)).alias("d")))))
+    valid = F.filter(runs, lambda r: F.when(F.char_length(r["d"]).between(13, 19), luhn_sum(r["d"]) % 10 == 0).otherwise(False))
+    ranked = F.array_sort(F.transform(valid, lambda r: F.struct((F.char_length(r["d"]) != 16).alias("odd"), (-F.char_length(r["d"])).alias("short"), r["at"].alias("at"), r["size"].alias("size"))))
+    return F.array_sort(F.aggregate(
+        ranked,
+        F.array().cast("array<struct<at:int,size:int>>"),
+        lambda acc, r: F.when(F.exists(acc, lambda c: (r["at"] < c["at"] + c["size"]) & (c["at"] < r["at"] + r["size"])), acc).otherwise(
+            F.concat(acc, F.array(F.struct(r["at"].alias("at"), r["size"].alias("size"))))
+        ),
+    ))
+
+
+def _with_pseudonyms(groups: Column, chosen: Column, key: str) -> Column:
+    """struct(s, n): the chain with the chosen runs replaced, and their number."""
+
+    def replaced(form: Column) -> Column:
+        d = _digits(form)
+        body = permuted_digits(F.substr(d, F.lit(1), F.char_length(d) - 1), key, "card")
+        new = _let(body, lambda b: F.concat(b, F.pmod(-luhn_sum(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")))
+        return _let(new, lambda digits: refilled(form, digits, "[0-9]"))
+
+    out = F.aggregate(
+        chosen,
+        F.struct(F.lit("").alias("s"), F.lit(0).alias("to")),
+        lambda acc, c: F.struct(
+            F.concat(acc["s"], _run(groups, acc["to"], c["at"] - acc["to"]), _let(_run(groups, c["at"], c["size"]), replaced)).alias("s"),
+            (c["at"] + c["size"]).alias("to"),
+        ),
+        lambda acc: F.concat(acc["s"], _run(groups, acc["to"], F.size(groups))),
+    )
+    return F.struct(out.alias("s"), F.size(chosen).alias("n"))
 
 
 def _phone(m: Column, key: str) -> tuple[Column, Column]:
@@ -203,15 +254,13 @@ _MAKERS = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _pho
 
 
 def _found(m: Column, key: str) -> Column:
-    """What stands for a match: struct(kind, text); kind is null if it is not valid."""
+    """What stands for a match: struct(kind, text, n values replaced); kind is null if it is not valid."""
     out = None
-    as_found = lambda kind, text: F.struct(kind.cast("string").alias("kind"), text.alias("text"))
+    as_found = lambda kind, text, n=F.lit(1): F.struct(kind.cast("string").alias("kind"), text.alias("text"), n.alias("n"))
     for kind, maker in _MAKERS.items():
-        valid, new = maker(m, key)
-        if kind == "phone":  # what is no valid phone number may still be a card number
-            valid = valid & ~(m.rlike(f"^(?:{PATTERNS['card']})$") & _card(m, key)[0])
+        valid, new, *n = maker(m, key)
         test = m.rlike(f"^(?:{PATTERNS[kind]})$")
-        value = F.when(valid, as_found(F.lit(kind), new)).otherwise(as_found(F.lit(None), m))
+        value = F.when(valid, as_found(F.lit(kind), new, *n)).otherwise(as_found(F.lit(None), m))
         if kind in ("phone", "ssn", "date"):
             test = test & valid
         out = F.when(test, value) if out is None else out.when(test, value)
@@ -219,7 +268,7 @@ def _found(m: Column, key: str) -> Column:
 
 
 def _count(hits: Column, kind: str) -> Column:
-    return F.size(F.filter(hits, lambda h: h["kind"] == kind)).cast("long")
+    return F.aggregate(F.filter(hits, lambda h: h["kind"] == kind), F.lit(0).cast("long"), lambda acc, h: acc + h["n"])
 
 
 def pseudonymise(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
@@ -234,7 +283,7 @@ def pseudonymise(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     text, hits, parts = F.col(f"{OWN}text"), F.col(f"{OWN}hits"), F.col(f"{OWN}parts")
     # most texts have neither a digit nor an at sign
     some = text.rlike("[0-9@]")
-    kind = "array<struct<kind:string,text:string>>"
+    kind = "array<struct<kind:string,text:string,n:int>>"
     found = F.when(some, F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: _found(m, key))).otherwise(F.array().cast(kind))
     out = (
         df.select(*[F.col(quoted(c)) for c in kept])

@@ -213,6 +213,16 @@ def test_pii_beside_letters_and_words(spark):
     assert (got[1].n_ip, got[0].n_date, got[4].n_ssn, got[8].n_card) == (2, 1, 1, 1) and [r.text for r in got[5:8]] == joined[5:8]
 
 
+def test_pii_card_beside_other_numbers(spark):
+    card, spaced = "4111111111111111", "4111 1111 1111 1111"
+    parts = [f"{spaced} 12/25", f"{card} 123", f"12 {card}", f"12345 {spaced} 678 9", f"{card} 2024-01-15", f"{spaced} {card}", f"{card} 12-a@mail.example.com"]
+    new, *got = _pseudonyms(spark, [card, *parts])
+    new = new.text
+    plain = [r.text.replace(" ", "") for r in got]
+    assert new != card and plain[:4] == [f"{new}12/25", f"{new}123", f"12{new}", f"12345{new}6789"] and plain[4][:16] == plain[6][:16] == new
+    assert [r.n_card for r in got[:6]] == [1, 1, 1, 1, 1, 2] and got[4].n_date == got[6].n_email == 1 and plain[5] == new * 2
+
+
 def test_quality(spark, docs):
     rng = random.Random(5)
     good = lambda: " ".join(rng.choice(["the", "of", "house", "tree", "and", "river"]) for _ in range(60)) + "."
