@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 OWN = "_ll_"
 #: monotonically_increasing_id() has the partition above this many bits, the row below.
 ROW_BITS = 33
+#: Keys that are broadcast at most to leave rows out; beyond that rows meet them in a shuffle.
+BROADCAST_ROWS = 1 << 18
 
 _own_folder: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
@@ -24,11 +28,14 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors and the driver share: spark.checkpoint.dir.
 
-    Only a session without that setting (a test on one machine) gets a folder of its own.
+    Only a session on one machine may lack that setting (as tests do) and gets a folder of its own. On a cluster each
+    executor would write to its own disk, so there it is an error.
     """
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if told:
         return told.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folder:
         _own_folder[app] = "file://" + tempfile.mkdtemp(prefix="lotloom-")
@@ -84,3 +91,26 @@ def text_or_empty(name: str) -> Column:
 
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
+
+
+def rows_without(df: DataFrame, keyed: Callable[[DataFrame], DataFrame], keys: list[str], found: DataFrame, kept: str) -> DataFrame:
+    """The rows of df that are kept, without having numbered or copied them.
+
+    keyed adds the key columns to df. found has a row for each row of df with its keys and whether it is kept; of
+    rows with the same keys at most one is. Where such a row repeats others, the one that stays is the first by its
+    columns as JSON. Rows that go are named by their keys, so few of them are broadcast and texts are not shuffled.
+    """
+    names = df.columns
+    same = [F.col(f"{OWN}gone{i}").eqNullSafe(F.col(k)) for i, k in enumerate(keys)]
+    gone = found.where(~F.col(kept)).select(*[F.col(k).alias(f"{OWN}gone{i}") for i, k in enumerate(keys)]).distinct()
+    gone = written(gone, "gone")
+    few = gone.count() <= BROADCAST_ROWS
+    all_ = keyed(df)
+    stay = all_.join(F.broadcast(gone) if few else gone, same, "left_anti").select(*[F.col(quoted(c)) for c in names])
+    repeated = written(found.where(kept).select(*keys).join(gone, same, "left_semi"), "repeated")
+    if repeated.isEmpty():
+        return stay
+    repeated = repeated.select(*[F.col(k).alias(f"{OWN}gone{i}") for i, k in enumerate(keys)])
+    row = F.struct(*[F.col(quoted(c)) for c in names])
+    one = all_.join(repeated, same, "left_semi").groupBy(*keys).agg(F.min_by(row, F.to_json(row)).alias(f"{OWN}one"))
+    return stay.unionByName(one.select(*[F.col(f"{OWN}one").getField(c).alias(c) for c in names]))

@@ -132,43 +132,62 @@ def test_top_k(spark):
     assert topk_search.top_k(df.limit(0), F.lit(True), 5).count() == 0
 
 
+def _classes_by_brute_force(texts):
+    """The least index in each text's class, over all pairs."""
+    sets = near_dedup.shingle_counts([(t or "").encode() for t in texts])
+    root = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if root[i] != root[j] and near_dedup.prob_jaccard(sets[i], sets[j]) >= 0.8 - 1e-9:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return dict(enumerate(root))
+
+
 def test_near_dedup(spark, docs):
     rng = random.Random(2)
     base = [f"w{rng.randint(0, 999)}" for _ in range(200)]
     texts = [" ".join(base)] + [" ".join(base[:i] + ["new"] + base[i + 1 :]) for i in range(3, 190, 9)] + [" ".join(f"v{rng.randint(0, 999)}" for _ in range(200)) for _ in range(10)]
     texts += ["", None, " one  two ", "ONE two"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    sets = near_dedup.shingle_counts([(t or "").encode() for t in texts])
-    root = list(range(len(texts)))
-    for j in range(len(texts)):
-        for i in range(j):
-            if near_dedup.prob_jaccard(sets[i], sets[j]) >= 0.8:
-                a, b = root[i], root[j]
-                root = [min(a, b) if r in (a, b) else r for r in root]
-    assert {r.doc_id: r.class_id for r in near_dedup.near_classes(df).collect()} == dict(enumerate(root))
-    assert near_dedup.drop_near_copies(df).count() == len(set(root))
+    want = _classes_by_brute_force(texts)
+    assert {r.doc_id: r.class_id for r in near_dedup.near_classes(df).collect()} == want
+    kept = near_dedup.drop_near_copies(df.withColumn("_ll_row", F.lit(1)))
+    assert kept.columns == ["doc_id", "text", "_ll_row"] and sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
     assert near_dedup.near_classes(docs).count() == 6 and near_dedup.near_classes(docs.limit(0)).count() == 0
+    assert sorted(r.doc_id or 0 for r in near_dedup.drop_near_copies(docs).collect()) == [1, 2, 4] and near_dedup.drop_near_copies(docs.limit(0)).count() == 0
 
 
-def test_near_dedup_bridge_between_closed_members(spark):
-    """Two groups in one bucket, each linked to a leader of its own, are one class through a single pair of members."""
+def _chained():
+    """Two groups of variants that only texts between them join, and one of weighted shingles."""
     a, b = [f"a{i}" for i in range(200)], [f"b{i}" for i in range(200)]
     mixed = lambda k: a[: 200 - k] + b[200 - k :]
     variants = lambda words, n: [words[:i] + [f"v{i}"] + words[i + 1 :] for i in range(n)]
     groups = [mixed(0), *variants(mixed(0), 150), mixed(14), mixed(41), *variants(mixed(41), 150), mixed(27)]
-    texts = [" ".join(w) for w in groups]
-    sets = near_dedup.shingle_counts([t.encode() for t in texts])
-    root = list(range(len(texts)))
-    for j in range(len(texts)):
-        for i in range(j):
-            if root[i] != root[j] and near_dedup.prob_jaccard(sets[i], sets[j]) >= 0.8:
-                a_, b_ = root[i], root[j]
-                root = [min(a_, b_) if r in (a_, b_) else r for r in root]
-    assert set(root) == {0} and near_dedup.prob_jaccard(sets[0], sets[152]) < 0.8
-    reps = spark.createDataFrame([(i, [1]) for i in range(len(texts))], f"{near_dedup.ROW} long, bands array<long>")
-    rows = spark.createDataFrame(list(enumerate(texts)), f"{near_dedup.ROW} long, {near_dedup.TEXT} string")
-    got = near_dedup.components(near_dedup._links(reps, rows, 0.8))
-    assert {r.node: r.root for r in got.collect()} == dict(enumerate(root))
+    repeats = [["x", "y", "z", "u", "v"] * 30 + [f"r{i}", f"r{i + 1}"] for i in range(20)]
+    return [" ".join(w) for w in groups + repeats]
+
+
+@pytest.mark.parametrize(("rows", "size"), [(4096, 1 << 24), (16, 1 << 24), (4096, 20000)])
+def test_near_dedup_blocks(spark, rows, size):
+    """Groups of over 300 near copies: whether they fit a block or not, classes are those of all pairs."""
+    texts = _chained()
+    want = _classes_by_brute_force(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = near_dedup.near_classes(df, block_rows=rows, block_bytes=size).collect()
+    assert {r.doc_id: r.class_id for r in got} == want and max(r.class_size for r in got) > 300
+
+
+def test_near_dedup_pairs_of_different_blocks(spark):
+    """Members of one bucket in blocks of one text each are still compared pair by pair."""
+    texts = _chained()[::9]
+    want = _classes_by_brute_force(texts)
+    rows = [(i, i, i, i, len(t), [1], t) for i, t in enumerate(texts)]
+    names = f"{near_dedup.ROW} long, {near_dedup.ID} long, {near_dedup.K1} long, {near_dedup.K2} long, bytes long, bands array<long>, {near_dedup.TEXT} string"
+    df = spark.createDataFrame(rows, names)
+    got = near_dedup._links(df.drop(near_dedup.TEXT), df.select(near_dedup.ID, near_dedup.TEXT, near_dedup.K1, near_dedup.K2), 0.8, 1, 1)
+    roots = {r.node: r.root for r in got.collect()}
+    assert {i: roots.get(i, i) for i in range(len(texts))} == want
 
 
 def test_prob_min_hash_estimates_similarity():
