@@ -2,39 +2,43 @@
 
 Spark's frequent-items sketch (approx_top_k, a mergeable Misra-Gries summary) names the most frequent digests.
 Their winners are found exactly by a partial aggregation over their own rows and broadcast; there are HEAVY of them
-at most, whatever the input. Rows of those digests meet their winner in the map task. All other digests, each with a
-small share of the rows, go through one ordinary shuffle. Only DataFrame expressions are used.
+at most, whatever the input. Rows of those digests meet their winner in the map task. All other digests are aggregated
+in one ordinary shuffle, and those of several rows are joined back. Only DataFrame expressions are used.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotloom.llm.common import OWN, WHITE_SPACE, quoted, text_or_empty, written
+from lotloom.llm.common import OWN, WHITE_SPACE, quoted, rows_without, text_or_empty, written
 
 #: Frequent digests that are broadcast at most, and counters of the sketch. A digest with more than about
 #: 3.5 / COUNTERS of all rows can't be missed as long as it is among the HEAVY largest.
 HEAVY, COUNTERS = 512, 16384
 
-DIGEST, CHARS, ID, ROW = f"{OWN}digest", f"{OWN}chars", f"{OWN}id", f"{OWN}row"
+DIGEST, CHARS, ID, ROW, K1, K2 = f"{OWN}digest", f"{OWN}chars", f"{OWN}id", f"{OWN}row", f"{OWN}k1", f"{OWN}k2"
 
 
 def without_white_space(text: Column) -> Column:
     return F.translate(text, WHITE_SPACE, "")
 
 
-def _fingerprints(df: DataFrame, id_col: str, text_col: str, with_columns: bool) -> DataFrame:
+def _keys(id_col: str, text_col: str) -> dict[str, Column]:
+    text = text_or_empty(quoted(text_col))
+    return {ID: F.col(quoted(id_col)), K1: F.xxhash64(F.lit(1), text), K2: F.xxhash64(F.lit(2), text)}
+
+
+def _fingerprints(df: DataFrame, id_col: str, text_col: str, with_keys: bool) -> DataFrame:
     """The written table of digests: its row numbers are then the same for every later step."""
     text = text_or_empty(quoted(text_col))
-    own = {
-        ID: F.col(quoted(id_col)),
+    own = _keys(id_col, text_col) if with_keys else {ID: F.col(quoted(id_col))}
+    own |= {
         DIGEST: F.sha2(without_white_space(text), 256),
         CHARS: F.char_length(text).cast("long"),
         ROW: F.monotonically_increasing_id(),
     }
-    cols = [F.col(quoted(c)) for c in df.columns] if with_columns else []
-    return written(df.select(*cols, *[v.alias(k) for k, v in own.items()]), "digests")
+    return written(df.select(*[v.alias(k) for k, v in own.items()]), "digests")
 
 
 def _decide(prints: DataFrame) -> DataFrame:
@@ -55,11 +59,10 @@ def _decide(prints: DataFrame) -> DataFrame:
     winners = written(winners, "winners")  # HEAVY rows at most, used twice
     marked = prints.join(F.broadcast(winners), DIGEST, "left")
     heavy = marked.where(F.col(f"{OWN}size").isNotNull())
-    alike = Window.partitionBy(DIGEST)
-    rest = (
-        prints.join(F.broadcast(winners.select(DIGEST)), DIGEST, "left_anti")
-        .withColumn(f"{OWN}best", F.min(best).over(alike))
-        .withColumn(f"{OWN}size", F.count(F.lit(1)).over(alike))
+    rest = prints.join(F.broadcast(winners.select(DIGEST)), DIGEST, "left_anti")
+    several = rest.groupBy(DIGEST).agg(F.min(best).alias(f"{OWN}best"), F.count(F.lit(1)).alias(f"{OWN}size")).where(f"{OWN}size > 1")
+    rest = rest.join(several, DIGEST, "left").withColumns(
+        {f"{OWN}best": F.coalesce(f"{OWN}best", best), f"{OWN}size": F.coalesce(f"{OWN}size", F.lit(1).cast("long"))}
     )
     return (
         heavy.unionByName(rest)
@@ -86,9 +89,9 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that stay, with df's columns; the rules are those of exact_groups.
 
-    The heavy groups' copies fall out in the map tasks; decisions on the rest travel as narrow rows and meet the
-    texts in one semi join.
+    Decisions are made on narrow rows. Texts are not shuffled unless more than BROADCAST_ROWS rows go. df is read
+    twice and must give the same rows. Of rows that repeat the id and text that stay, one stays, whichever the other
+    columns put first.
     """
-    prints = _fingerprints(df, id_col, text_col, True)
-    stay = _decide(prints.select(ID, DIGEST, CHARS, ROW)).where("kept").select(ROW)
-    return prints.join(stay, ROW, "left_semi").select(*[F.col(quoted(c)) for c in df.columns])
+    found = written(_decide(_fingerprints(df, id_col, text_col, True)).select(ID, K1, K2, "kept"), "kept")
+    return rows_without(df, lambda d: d.withColumns(_keys(id_col, text_col)), [ID, K1, K2], found, "kept")
