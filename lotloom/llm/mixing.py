@@ -109,7 +109,7 @@ def mix(
     share `share` times all words; a source stops at `cap` times its words and the rest is shared anew by weight.
     taken is between 0 and cap times the size. Rows without words take 0; a table without words has targets 0; an
     empty table gives an empty result. Repeated ids are rows of their own; those equal in id, source and size are
-    interchangeable. Results depend on rows and seed alone, not on partitions or order.
+    interchangeable. Rows without id are drawn by their text. Results depend on rows and seed alone, not on partitions or order.
     """
     source = F.coalesce(F.concat(F.lit("s"), F.col(quoted(source_col)).cast("string")), F.lit("t"))
     rows = written(
@@ -118,7 +118,7 @@ def mix(
             F.col(quoted(id_col)).alias(ID),
             source.alias(SOURCE),
             F.regexp_count(text_or_empty(quoted(text_col)), F.lit(WORD)).cast("long").alias(SIZE),
-            drawn(seed, F.coalesce(F.col(quoted(id_col)).cast("string"), F.lit("null"))).alias(DRAW),
+            drawn(seed, F.coalesce(F.col(quoted(id_col)).cast("string"), F.concat(F.lit("null:"), F.md5(text_or_empty(quoted(text_col)).cast("binary"))))).alias(DRAW),
         ),
         "sizes",
     )
@@ -129,14 +129,12 @@ def mix(
     blocks = F.ceil(F.col(SIZE) / block_words).cast("long")
     per_source = cells.groupBy(SOURCE).agg((F.sum(blocks) * cap).alias("most"))
     total = F.round(F.sum("target").over(Window.partitionBy()) / block_words).cast("long")
-    sources = apportion(
-        targets.join(per_source, SOURCE).withColumn("all", F.lit(0)).withColumn("seats", total),
-        ["all"], [SOURCE], "target", "seats", "most",
-    ).select(SOURCE, "source_size", "target", F.col("won").alias("seats"))
-    quotas = apportion(
-        cells.join(sources, SOURCE).withColumn("blocks", blocks).withColumn("claim", F.col("blocks").cast("double")).withColumn("most", F.col("blocks") * cap),
-        [SOURCE], [SHARD], "claim", "seats", "most",
-    ).select(SOURCE, SHARD, "source_size", "target", "blocks", F.col("won").alias("quota"))
+    # each step is written, so that no plan holds the windows of those before it
+    claims = written(targets.join(per_source, SOURCE).withColumn("all", F.lit(0)).withColumn("seats", total), "targets")
+    sources = written(apportion(claims, ["all"], [SOURCE], "target", "seats", "most").select(SOURCE, "source_size", "target", F.col("won").alias("seats")), "sources")
+    claims = cells.join(sources, SOURCE).withColumn("blocks", blocks).withColumn("claim", F.col("blocks").cast("double")).withColumn("most", F.col("blocks") * cap)
+    quotas = apportion(written(claims, "claims"), [SOURCE], [SHARD], "claim", "seats", "most")
+    quotas = quotas.select(SOURCE, SHARD, "source_size", "target", "blocks", F.col("won").alias("quota"))
     there = F.greatest("blocks", F.lit(1))
     runs = written(
         quotas.withColumn("rounds", F.expr("quota div greatest(blocks, 1)"))
@@ -165,12 +163,26 @@ def mix(
 def repeat_by_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """df with each row as many times as the mix takes its words, to the nearest whole number (a half counts up).
 
-    `how` goes to `mix`, whose rules for nulls, ties and empty tables hold. Rows without words are not taken. Only
+    `how` goes to `mix`, whose rules for nulls, ties and empty tables hold. Rows without words are not taken. df is
+    read twice and must give the same rows. Only
     documents at the two ends of a run are taken in part, so rounding moves a shard's words by one document or two.
     """
-    row = f"{OWN}row"
-    rows = written(df.select(*[F.col(quoted(c)) for c in df.columns], F.monotonically_increasing_id().alias(row)), "documents")
-    taken = mix(rows, id_col, text_col, source_col, keep=(row,), **how)
-    times = taken.where("size > 0").select(row, F.expr("int((2 * taken + size) div (2 * size))").alias(f"{OWN}times")).where(f"{OWN}times > 0")
-    out = rows.join(times, row).withColumn(f"{OWN}copy", F.explode(F.sequence(F.lit(1), F.col(f"{OWN}times"))))
-    return out.select(*[F.col(quoted(c)) for c in df.columns])
+    text = text_or_empty(quoted(text_col))
+    keys = [f"{OWN}k{i}" for i in range(4)]
+    own = [F.col(quoted(id_col)), F.col(quoted(source_col)), F.xxhash64(F.lit(1), text), F.xxhash64(F.lit(2), text)]
+    keyed = df.withColumns(dict(zip(keys, own, strict=True)))
+    taken = mix(keyed, id_col, text_col, source_col, keep=tuple(keys), **how)
+    times = taken.select(*keys, F.when(F.col("size") > 0, F.expr("int((2 * taken + size) div (2 * size))")).otherwise(0).alias("times"))
+    # rows alike in id, source and text share their times: the first ones by their other columns get the odd ones
+    times = times.groupBy(*[F.col(k).alias(f"{k}_") for k in keys]).agg(F.sum("times").alias(f"{OWN}times"), F.count(F.lit(1)).alias(f"{OWN}rows"))
+    times = written(times.where(f"{OWN}times > 0"), "times")
+    out = keyed.join(times, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys])
+    columns = [F.col(quoted(c)) for c in df.columns]
+    sequence = lambda n: F.explode(F.sequence(F.lit(1), n)).alias(f"{OWN}copy")
+    single = out.where(f"{OWN}rows = 1").select(*columns, sequence(F.col(f"{OWN}times"))).drop(f"{OWN}copy")
+    if times.where(f"{OWN}rows > 1").isEmpty():
+        return single
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.to_json(F.struct(*columns))))
+    mine = F.expr(f"int({OWN}times div {OWN}rows)") + (F.col(f"{OWN}place") <= F.col(f"{OWN}times") % F.col(f"{OWN}rows")).cast("int")
+    several = out.where(f"{OWN}rows > 1").withColumn(f"{OWN}place", place).withColumn(f"{OWN}mine", mine).where(f"{OWN}mine > 0")
+    return single.unionByName(several.select(*columns, sequence(F.col(f"{OWN}mine"))).drop(f"{OWN}copy"))

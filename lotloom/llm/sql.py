@@ -115,7 +115,7 @@ def mixing(seed: int = 0, block: int = 8) -> str:
     return f"""
 WITH n AS (SELECT greatest(1, ceil(sqrt(count(*)) / 4))::BIGINT AS shards FROM documents),
 d AS MATERIALIZED (SELECT doc_id, coalesce('s' || source, 't') AS s, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-  md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null')) AS draw, {number(f"'{seed}:' || coalesce(doc_id::VARCHAR, 'null')")} % shards AS shard FROM documents, n),
+  md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))) AS draw, {number(f"'{seed}:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))")} % shards AS shard FROM documents, n),
 cells AS MATERIALIZED (SELECT s, shard, sum(size)::BIGINT AS size, ceil(sum(size) / {block})::BIGINT AS blocks FROM d GROUP BY s, shard),
 per AS (SELECT s, sum(size)::BIGINT AS source_size, (sum(blocks) * 2)::BIGINT AS most FROM cells GROUP BY s),
 w AS (SELECT *, ([3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE])[((row_number() OVER (ORDER BY s) - 1) % 3 + 1)::INT] AS w, source_size * 2.0::DOUBLE AS top FROM per),
