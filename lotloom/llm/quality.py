@@ -5,26 +5,29 @@ of characters, length, closing punctuation, same as the word before). Each indic
 its smoothed frequencies in the two classes, rows are brought to length 1, and a linear model with hinge loss is
 fitted by dual coordinate descent. A logistic curve fitted on rows kept from the fit turns margins into 0..1.
 
-The fit uses at most `max_rows` labelled rows, those that come first by MD5 of their id, and takes place on the
-driver with their feature numbers; scoring is one pass over all texts.
+The fit uses at most `max_rows` labelled rows with `max_numbers` feature numbers, those that come first by MD5 of
+their id, and takes place in one task; scoring is one pass over all texts.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotloom.llm.common import OWN, quoted, text_or_empty
+from lotloom.llm.common import OWN, quoted, text_or_empty, written
 from lotloom.llm.words import blocks, mix, word_hashes
 
 #: Hashed features; labelled rows that a fit uses at most; smoothing; cost of the hinge loss.
 FEATURES, MAX_ROWS, ALPHA, COST, EPOCHS = 1 << 18, 8000, 1.0, 1.0, 25
+#: Distinct features of these rows in all that a fit uses at most.
+MAX_NUMBERS = 1 << 24
 #: Share of the scaled mean weight that each weight is drawn towards, as usual with these models.
 BETA = 0.25
 
@@ -81,7 +84,7 @@ class Model:
                 place = np.arange(len(ids))
                 seen[ids] = place
                 ids = ids[seen[ids] == place]  # each number once
-                margin = float(self.weights[ids].sum()) / max(1e-12, float(self.squares[ids].sum())) ** 0.5 + self.bias
+                margin = float(self.weights[ids].sum(dtype=np.float64)) / max(1e-12, float(self.squares[ids].sum(dtype=np.float64))) ** 0.5 + self.bias
                 out[first + i] = margin
         return 1 / (1 + np.exp(-np.clip(self.slope * out + self.shift, -30, 30)))
 
@@ -128,7 +131,7 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, seed: int = 0) -> Model
     n1 = int(labels.sum())
     if len(set(labels.tolist())) < 2 or len(labels) < 10:
         share = (n1 + 1) / (len(labels) + 2)
-        return Model(np.zeros(FEATURES), np.zeros(FEATURES), 0.0, 0.0, float(np.log(share / (1 - share))))
+        return Model(np.zeros(FEATURES, np.float32), np.zeros(FEATURES, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
     rng = np.random.default_rng(seed)
     kept = rng.random(len(rows)) < 0.2  # for the curve
     if len(set(labels[kept].tolist())) < 2 or len(set(labels[~kept].tolist())) < 2:
@@ -148,7 +151,7 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, seed: int = 0) -> Model
     on = np.flatnonzero(kept) if kept.any() else np.arange(len(rows))
     margin = np.array([float(w[rows[i]] @ values[i]) + bias for i in on])
     slope, shift = _curve(margin, labels[on])
-    return Model(w * ratio, ratio**2, bias, slope, shift)
+    return Model((w * ratio).astype(np.float32), (ratio**2).astype(np.float32), bias, slope, shift)
 
 
 def held_out(id_: Column) -> Column:
@@ -156,10 +159,13 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS, seed: int = 0) -> Model:
-    """Fits on documents with a label 0 or 1 that are not held out, max_rows label rows at most.
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+    max_rows: int = MAX_ROWS, max_numbers: int = MAX_NUMBERS, seed: int = 0,
+) -> Model:
+    """Fits on documents with a label 0 or 1 that are not held out: max_rows rows and max_numbers feature numbers at most.
 
-    Rows without id or label are not used; a repeated label row counts as often as it is there.
+    Rows without id or label are not used; a repeated label row or document counts as often as it is there.
     """
     key = F.col(quoted(id_col))
     chosen = (
@@ -176,12 +182,28 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             found = []
             for _, run in blocks(batch.column(1).to_pylist()):
-                found += [np.unique(ids).astype(np.int32).tobytes() for ids in features(run)]
-            yield pa.RecordBatch.from_pydict({"label": batch.column(2), "id": batch.column(0), "ids": pa.array(found, pa.binary())})
-
-    got = rows.mapInArrow(extract, f"label int, id {rows.schema[0].dataType.simpleString()}, ids binary").limit(max_rows).collect()
-    got = sorted(got, key=lambda r: (r.id, r.label, bytes(r.ids)))
-    return fit_rows([np.frombuffer(r.ids, np.int32).astype(np.int64) for r in got], np.array([r.label for r in got], np.int64), seed)
+                found += [np.unique(ids).astype(np.int32) for ids in features(run)]
+            ids = pa.array([x.tobytes() for x in found], pa.binary())
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "label": batch.column(2), "n": pa.array([len(x) for x in found], pa.int64()), "ids": ids})
+
+    kind = rows.schema[0].dataType.simpleString()
+    found = written(rows.mapInArrow(extract, f"id {kind}, label int, n long, ids binary").withColumn("key", F.md5("ids")), "features")
+    # repeated documents may be more than max_rows, and long ones more than max_numbers: the first by id stay
+    order = Window.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")).cast("binary")), "id", "label", "key")
+    used = found.select("id", "label", "key", "n").withColumns({"row": F.row_number().over(order), "sum": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    used = used.where((F.col("row") <= max_rows) & (F.col("sum") <= max_numbers)).groupBy("id", "label", "key").agg(F.count(F.lit(1)).alias("times"))
+    chosen = found.join(used, ["id", "label", "key"]).dropDuplicates(["id", "label", "key"]).select("id", "label", "times", "key", "ids")
+
+    def fit(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("id", "ascending"), ("label", "ascending"), ("key", "ascending")])
+        times = np.array(table["times"].to_pylist(), np.int64)
+        ids = [np.frombuffer(x.as_buffer(), np.int32) for x in table["ids"]]
+        labels = np.array(table["label"].to_pylist(), np.int64)
+        model = fit_rows([x for x, t in zip(ids, times, strict=True) for _ in range(t)], np.repeat(labels, times), seed)
+        return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    got = chosen.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(fit, "model binary").collect()  # one model, of fixed size
+    return pickle.loads(got[0].model) if got else fit_rows([], np.empty(0, np.int64), seed)
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
