@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotloom.llm.common import OWN, quoted, text_or_empty
+from lotloom.llm.common import OWN, quoted, small_batches, text_or_empty
 
-#: Documents in a group on average; chunks that a worker remembers.
-GROUP, REMEMBERED = 8192, 1_000_000
+#: Documents in a group on average; bytes of chunks and their ids that a worker remembers, OVERHEAD for each included.
+GROUP, REMEMBERED, OVERHEAD = 8192, 128 << 20, 160
 
 #: What a file must say for its words to be encoded one by one.
 _NORMALIZER = [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)]
@@ -42,7 +42,7 @@ def _byte_of_char() -> dict[str, int]:
 
 
 class Words(dict):
-    """Ids of white-space chunks (UTF-8, A-Z in lower case) as bytes, found on demand, REMEMBERED of them at most.
+    """Ids of white-space chunks (UTF-8) as bytes, found on demand and remembered up to REMEMBERED bytes.
 
     A chunk is cut as the file's pre-tokenizer cuts it. Pieces go through tiktoken's merge loop over the same
     vocabulary, a word's end being written as a byte of its own. In such a vocabulary every token comes from its own
@@ -55,6 +55,7 @@ class Words(dict):
         import tiktoken
 
         super().__init__()
+        self.held = 0
         of, ranks = _byte_of_char(), {}
         for token, i in vocabulary.items():
             if all(c in of for c in token.removesuffix(_SUFFIX)):
@@ -68,15 +69,22 @@ class Words(dict):
 
     def __missing__(self, chunk: bytes) -> bytes:
         word = chunk.decode()
-        if word.isalpha() and (word.isascii() or word == word.lower() and unicodedata.is_normalized("NFC", word)):
-            ids = self.merge(chunk + _LAST)
-        elif word.isascii():
-            ids = [i for p in self.pieces(word) for i in self.merge(p.encode() + _LAST)]
+        if word.isascii():
+            # only ASCII is lower-cased here: other letters may be composed before, and differently so in lower case
+            if (low := word.lower()) != word:
+                out = self[low.encode()]
+            else:
+                ids = self.merge(chunk + _LAST) if word.isalpha() else [i for p in self.pieces(word) for i in self.merge(p.encode() + _LAST)]
+                out = array("I", ids).tobytes()
+        elif word.isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word):
+            out = array("I", self.merge(chunk + _LAST)).tobytes()
         else:
-            ids = self.encode(word, add_special_tokens=False).ids
-        if len(self) >= REMEMBERED:
+            out = array("I", self.encode(word, add_special_tokens=False).ids).tobytes()
+        self.held += len(chunk) + len(out) + OVERHEAD
+        if self.held > REMEMBERED:
             self.clear()
-        out = self[chunk] = array("I", ids).tobytes()
+            self.held = len(chunk) + len(out) + OVERHEAD
+        self[chunk] = out
         return out
 
 
@@ -107,7 +115,7 @@ class Encoder:
         # special tokens that a text spells out are found across chunks, so such texts are left as they are
         if self.words is None or b"<|" in text:
             return array("I", self.tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self.words.__getitem__, text.lower().split()))
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 def encoder(path: str) -> Encoder:
@@ -195,6 +203,7 @@ def pack(
             cols["doc_tokens"] = pa.array(out["tokens"], pa.int64())
             yield pa.RecordBatch.from_pydict(cols)
 
+    small_batches(df.sparkSession)
     pieces = docs.mapInArrow(cut, schema)
 
     def place(table: pa.Table) -> pa.Table:
