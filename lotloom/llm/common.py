@@ -89,6 +89,13 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts can be long: unless the session says otherwise, Arrow batches hold 1000 rows, not 10,000."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

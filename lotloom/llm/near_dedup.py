@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotloom.llm.common import OWN, Table, quoted, rows_without, text_or_empty, written
+from lotloom.llm.common import OWN, Table, quoted, rows_without, small_batches, text_or_empty, written
 from lotloom.llm.words import blocks, mix, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -151,6 +151,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                     }
                 )
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[ID].dataType.simpleString()
     return docs.select(ID, K1, K2, TEXT).mapInArrow(sign, f"{ID} {kind}, {K1} long, {K2} long, bytes long, digest binary, bands array<long>")
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotloom.llm.common import OWN, quoted, text_or_empty, written
+from lotloom.llm.common import OWN, quoted, small_batches, text_or_empty, written
 from lotloom.llm.words import blocks, mix, word_hashes
 
 #: Hashed features; labelled rows that a fit uses at most; smoothing; cost of the hinge loss.
@@ -186,6 +186,7 @@ def train(
             ids = pa.array([x.tobytes() for x in found], pa.binary())
             yield pa.RecordBatch.from_pydict({"id": batch.column(0), "label": batch.column(2), "n": pa.array([len(x) for x in found], pa.int64()), "ids": ids})
 
+    small_batches(docs.sparkSession)
     kind = rows.schema[0].dataType.simpleString()
     found = written(rows.mapInArrow(extract, f"id {kind}, label int, n long, ids binary").withColumn("key", F.md5("ids")), "features")
     # repeated documents may be more than max_rows, and long ones more than max_numbers: the first by id stay
@@ -217,5 +218,6 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str
         for texts in batches:
             yield pd.Series(model.score(texts.tolist()))
 
+    small_batches(docs.sparkSession)
     kept = [F.col(quoted(c)) for c in docs.columns if c.lower() != name.lower()]
     return docs.select(*kept, scored(F.col(quoted(text_col))).alias(name))

@@ -3,13 +3,14 @@
 Writing: one response record for each distinct payload, revisit records for its copies, each a gzip member of its
 own. Spark's text sink writes them, so any file system Spark writes to will do and its committer deals with lost
 tasks. The sink wants a separator after each record: it is the zero byte that ends a gzip member of less than 16 MiB
-(the top byte of its length); larger ones are followed by an empty member, which ends in zero too. Archives are
-rebalanced to the session's advisory partition size. Reading: whole archives, member by member, with every digest
-computed anew.
-
-Index: captures sorted by reversed-host URL key, cut into zlib-compressed blocks; the directory has the first key of
-each block. A lookup binary-searches the directory, opens the blocks that may hold the key and reads the records'
-byte ranges.
+(the top byte of its length); larger ones are followed by an empty member, which ends in zero too.
+
+Index: captures sorted by reversed-host URL key, cut into blocks that are gzip members of plain files as well; the
+sparse directory has the first and last key and the byte range of each block. Lookups binary-search the directory,
+read the byte ranges of the blocks that may hold their keys, binary-search those, and read the records' byte ranges.
+Byte ranges are read by pyarrow's file systems, which know local paths, HDFS and the common object stores. A single
+lookup takes from the directory only the rows that may hold its key. Many lookups run as tasks, with BLOCKS_AT_ONCE
+directory entries at a time, each block being read by one task for all keys that it may hold.
 """
 
 from __future__ import annotations
@@ -23,17 +24,20 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lotloom.llm.common import new_path, quoted, text_or_empty
+from lotloom.llm.common import BROADCAST_ROWS, new_path, quoted, small_batches, text_or_empty, written
 
 CRLF = "\r\n"
 END = CRLF * 2
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: Captures in an index block.
-BLOCK_LINES = 1000
+#: Captures in an index block; directory entries that tasks of lookups hold at once.
+BLOCK_LINES, BLOCKS_AT_ONCE = 1000, 1 << 16
+#: Byte ranges of a file that lie so near to each other are read at once, up to so many bytes.
+NEAR, READ = 1 << 16, 8 << 20
 
 RECORDS = T.StructType(
     [
@@ -51,11 +55,11 @@ RECORDS = T.StructType(
 )
 
 
-def base32_sha1(data: Column) -> Column:
-    """SHA-1 of a binary column in upper-case base 32: five digits of eight bits are eight of five."""
+def base32(digest: Column) -> Column:
+    """A SHA-1 digest in hexadecimal as upper-case base 32: five digits of eight bits are eight of five."""
     digits = []
     for i in range(4):
-        group = F.conv(F.substring(F.sha1(data), 10 * i + 1, 10), 16, 10).cast("long")
+        group = F.conv(F.substring(digest, 10 * i + 1, 10), 16, 10).cast("long")
         for shift in range(35, -1, -5):
             digits.append(F.substring(F.lit(ALPHABET), F.shiftright(group, shift).bitwiseAND(31).cast("int") + 1, F.lit(1)))
     return F.concat(*digits)
@@ -88,16 +92,18 @@ def write_archives(
     """
     id_, url, text = F.col(quoted(id_col)).cast("long"), F.col(quoted(url_col)).cast("string"), text_or_empty(quoted(text_col))
     pages = df.select(id_.alias("id"), _clean(url).alias("url"), text.alias("text")).withColumns(
-        {"bytes": F.octet_length("text").cast("long"), "digest": base32_sha1(F.col("text").cast("binary"))}
+        {"bytes": F.octet_length("text").cast("long"), "sha": F.sha1(F.col("text").cast("binary"))}
     )
     groups = (
         pages.where(F.col("bytes") >= min_bytes)
-        .groupBy("digest")
+        .groupBy("sha")
         .agg(F.max("id").alias("last"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
         .drop("n")
     )
-    rows = pages.join(groups, "digest", "left")
+    groups = written(groups, "repeated")
+    # payloads are shuffled only if very many are repeated
+    rows = pages.join(F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups, "sha", "left").withColumn("digest", base32(F.col("sha")))
     revisit = (F.col("bytes") >= min_bytes) & F.col("last").isNotNull() & ~F.col("id").eqNullSafe(F.col("last"))
     http = F.concat(
         F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "),
@@ -126,8 +132,9 @@ def write_archives(
         content,
         F.lit(END),
     )
+    small_batches(df.sparkSession)
     packed = rows.select(record.cast("binary").alias("value")).mapInArrow(_gzip, "value binary")
-    packed.hint("rebalance").select(F.col("value").cast("string")).write.option("lineSep", "\0").option("compression", "none").text(path)
+    packed.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("compression", "none").text(path)
 
 
 def member(record: bytes) -> bytes:
@@ -184,6 +191,18 @@ def parse(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
         yield at, size, head, body[body.index(b"\r\n\r\n") + 4 :]
 
 
+def _row(archive: str, offset: int, length: int, head: dict[str, str], payload: bytes, with_payload: bool = False) -> tuple:
+    """The fields of RECORDS; an error if a response's payload does not have the digest its header names."""
+    kind, told, size = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:"), len(payload)
+    if kind == "response":
+        if base64.b32encode(hashlib.sha1(payload).digest()).decode() != told:
+            raise ValueError(f"{archive}, byte {offset}: the payload does not have its digest")
+    else:
+        size = int(head["x-payload-length"])
+    number = lambda k: int(head[k]) if k in head else None
+    return number("x-page-id"), head.get("warc-target-uri"), kind, told, size, number("x-refers-to-page-id"), archive, offset, length, payload if with_payload else None
+
+
 def read_archives(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
     """A row for each record below path, with the fields of RECORDS; payload is null unless asked for.
 
@@ -196,15 +215,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
             for i in range(batch.num_rows):
                 name, rows = batch.column(0)[i].as_py(), []
                 for offset, length, head, payload in parse(batch.column(1)[i].as_py()):
-                    kind, told = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:")
-                    size = len(payload)
-                    if kind == "response":
-                        if base64.b32encode(hashlib.sha1(payload).digest()).decode() != told:
-                            raise ValueError(f"{name}, byte {offset}: the payload does not have its digest")
-                    else:
-                        size = int(head["x-payload-length"])
-                    number = lambda k, head=head: int(head[k]) if k in head else None
-                    rows.append((number("x-page-id"), head.get("warc-target-uri"), kind, told, size, number("x-refers-to-page-id"), name, offset, length, payload if with_payload else None))
+                    rows.append(_row(name, offset, length, head, payload, with_payload))
                     if len(rows) >= 5000 or with_payload and len(rows) >= 200:
                         yield _batch(rows)
                         rows = []
@@ -232,25 +243,25 @@ def url_key(url: str) -> str:
     return ",".join(reversed(host.split("."))) + ")" + (m[2] or "/")
 
 
+def _keys(url: Column) -> Column:
+    @F.pandas_udf("string")
+    def keys(urls):
+        return urls.map(url_key)
+
+    return keys(F.coalesce(url, F.lit("")))
+
+
 def write_index(records: DataFrame, path: str) -> None:
     """Index blocks of the records (as of read_archives) below path: key-sorted lines, compressed, and a directory.
 
     Keys are dealt by range together with the record's place, so that one URL with many captures spreads over blocks.
     """
-
-    @F.pandas_udf("string")
-    def keys(urls):
-        return urls.map(url_key)
-
-    lines = records.select(
-        keys(F.coalesce("url", F.lit(""))).alias("key"), "page_id", "url", "record_type", "payload_digest", "archive", "offset", "length"
-    )
+    lines = records.select(_keys(F.col("url")).alias("key"), "page_id", "url", "record_type", "payload_digest", "archive", "offset", "length")
     ordered = lines.repartitionByRange("key", "archive", "offset").sortWithinPartitions("key", "archive", "offset")
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def block(rows: list[dict]) -> pa.RecordBatch:
-            data = zlib.compress("\n".join(json.dumps(r) for r in rows).encode())
-            return pa.RecordBatch.from_pydict({"first_key": [rows[0]["key"]], "last_key": [rows[-1]["key"]], "lines": pa.array([len(rows)], pa.int64()), "block": pa.array([data], pa.binary())})
+            return pa.RecordBatch.from_pydict({"value": pa.array([member("\n".join(map(json.dumps, rows)).encode())[:-1]], pa.binary())})
 
         rows: list[dict] = []
         for batch in batches:
@@ -261,49 +272,129 @@ def write_index(records: DataFrame, path: str) -> None:
         if rows:
             yield block(rows)
 
-    table = ordered.mapInArrow(blocks, "first_key string, last_key string, lines long, block binary")
-    table.write.option("parquet.block.size", 4 << 20).parquet(f"{path}/blocks")
-    table.sparkSession.read.parquet(f"{path}/blocks").select("first_key", "last_key").orderBy("first_key", "last_key").write.parquet(f"{path}/directory")
+    ordered.mapInArrow(cut, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\0").option("compression", "none").text(f"{path}/blocks")
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                name, rows = batch.column(0)[i].as_py(), []
+                for at, size, data in members(batch.column(1)[i].as_py()):
+                    rows.append((json.loads(data[: data.find(b"\n") % (len(data) + 1)])["key"], json.loads(data[data.rfind(b"\n") + 1 :])["key"], name, at, size))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["first_key", "last_key", "file", "offset", "length"])
+
+    blocks = records.sparkSession.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/blocks").select("path", "content")
+    directory = blocks.mapInArrow(places, "first_key string, last_key string, file string, offset long, length long")
+    directory.orderBy("first_key", "last_key", "file", "offset").write.option("parquet.block.size", 1 << 20).parquet(f"{path}/directory")
+
+
+class Ranges:
+    """Reads byte ranges of files, on any file system that pyarrow knows by the path's scheme."""
+
+    def __init__(self) -> None:
+        self.name, self.file = None, None
+
+    def __call__(self, name: str, offset: int, length: int) -> bytes:
+        if name != self.name:
+            store, where = pyarrow.fs.FileSystem.from_uri(re.sub(r"^file:/*", "file:///", name))
+            self.name, self.file = name, store.open_input_file(where)
+        return self.file.read_at(length, offset)
 
 
 class CaptureIndex:
-    """Lookups by URL. Holds the directory only: a key for each BLOCK_LINES captures."""
+    """Lookups by URL. Nothing of the index is held; a lookup reads the directory rows that may hold its key."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        rows = sorted((r.first_key, r.last_key) for r in spark.read.parquet(f"{path}/directory").toLocalIterator())
-        self.first = [r[0] for r in rows]
-        self.last = [r[1] for r in rows]
+        self.spark, self.directory, self.read = spark, spark.read.parquet(f"{path}/directory"), Ranges()
 
-    def captures(self, url: str) -> list[dict]:
-        """All captures of a URL: block keys are searched, then only blocks that may hold it are read."""
+    def captures(self, url: str) -> Iterator[dict]:
+        """All captures of a URL, block by block."""
         key = url_key(url)
-        end = bisect.bisect_right(self.first, key)
-        begin = end
-        while begin and self.last[begin - 1] >= key:
-            begin -= 1
-        if begin == end:
-            return []
-        first = sorted(set(self.first[begin:end]))
-        found = self.spark.read.parquet(f"{self.path}/blocks").where(F.col("first_key").isin(first) & (F.col("last_key") >= key)).select("block").collect()
-        rows = (json.loads(x) for b in found for x in zlib.decompress(bytes(b[0])).decode().split("\n"))
-        return sorted((r for r in rows if r["key"] == key), key=lambda r: (r["archive"], r["offset"]))
+        found = self.directory.where((F.col("first_key") <= key) & (F.col("last_key") >= key)).orderBy("first_key", "last_key", "file", "offset")
+        for r in found.toLocalIterator():
+            yield from _with_key(_lines(self.read(r.file, r.offset, r.length)), key)
 
     def payload(self, capture: dict) -> bytes:
         """Reads a capture's byte range and returns its payload (empty for a revisit)."""
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(capture["archive"])
-        stream = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).open(where)
-        try:
-            stream.seek(capture["offset"])
-            data = bytes(stream.readNBytes(capture["length"]))
-        finally:
-            stream.close()
-        return next(parse(data))[3]
+        return next(parse(self.read(capture["archive"], capture["offset"], capture["length"])))[3]
+
+    def look_up(self, urls: DataFrame, url_col: str = "url") -> DataFrame:
+        """The records (RECORDS, without payload) of all captures of the URLs of a table, from their own byte ranges.
+
+        A capture comes once, however often its URL is in the table; null counts as an empty URL.
+        """
+        wanted = written(urls.select(_keys(_clean(F.col(quoted(url_col)).cast("string"))).alias("key")).distinct(), "keys")
+        out, entries = None, []
+        for r in self.directory.orderBy("first_key", "last_key").toLocalIterator():
+            entries.append(tuple(r))
+            if len(entries) == BLOCKS_AT_ONCE:
+                out = self._found(wanted, entries, out)
+                entries = []
+        out = self._found(wanted, entries, out)
+        return _fetched(out.repartition("archive").sortWithinPartitions("archive", "offset"))
+
+    def _found(self, wanted: DataFrame, entries: list[tuple], before: DataFrame | None) -> DataFrame:
+        """before, and the captures (archive, offset, length) that the directory entries lead to."""
+        # last keys do not decrease with first keys, as blocks lie one after another
+        first, last = [e[0] for e in entries], [e[1] for e in entries]
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = []
+                for key in batch.column(0).to_pylist():
+                    for i in range(bisect.bisect_left(last, key), bisect.bisect_right(first, key)):
+                        rows.append((key, *entries[i][2:]))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["key", "file", "offset", "length"])
+
+        def open_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            read, at, block = Ranges(), None, []
+            for batch in batches:
+                rows = []
+                for key, *place in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                    if place != at:
+                        at, block = place, _lines(read(*place))
+                    rows += [(c["archive"], c["offset"], c["length"]) for c in _with_key(block, key)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["archive", "offset", "length"])
+
+        near = wanted.mapInArrow(search, "key string, file string, offset long, length long")
+        near = near.repartition("file", "offset").sortWithinPartitions("file", "offset", "key")
+        got = near.mapInArrow(open_, "archive string, offset long, length long")
+        return got if before is None else before.unionByName(got)
+
+
+def _lines(block: bytes) -> list[dict]:
+    return [json.loads(x) for x in next(members(block))[2].decode().split("\n")]
+
+
+def _with_key(lines: list[dict], key: str) -> list[dict]:
+    of = lambda r: r["key"]
+    return lines[bisect.bisect_left(lines, key, key=of) : bisect.bisect_right(lines, key, key=of)]
+
+
+def _fetched(places: DataFrame) -> DataFrame:
+    """The records at (archive, offset, length), which come by archive and offset."""
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = Ranges()
+        for batch in batches:
+            runs: list[list] = []  # archive, begin, end, ranges
+            for archive, offset, length in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if not runs or runs[-1][0] != archive or offset - runs[-1][2] > NEAR or offset + length - runs[-1][1] > READ:
+                    runs.append([archive, offset, offset, []])
+                runs[-1][2] = offset + length
+                runs[-1][3].append((offset, length))
+            for archive, begin, end, ranges in runs:
+                data = read(archive, begin, end - begin)
+                yield _batch([_row(archive, offset, length, *next(parse(data[offset - begin : offset - begin + length]))[2:]) for offset, length in ranges])
+
+    return places.mapInArrow(fetch, RECORDS)
 
 
 def archive_round_trip(df: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", min_bytes: int = 0) -> DataFrame:
-    """Writes df's archives to the shared folder and returns what reading them back gives."""
-    path = new_path(df.sparkSession, "archives")
-    write_archives(df, path, id_col, url_col, text_col, min_bytes)
-    return read_archives(df.sparkSession, path)
+    """Writes df's archives and their index to the shared folder, looks up every URL of df and returns the records found."""
+    path = new_path(df.sparkSession, "warc")
+    write_archives(df, f"{path}/archives", id_col, url_col, text_col, min_bytes)
+    write_index(read_archives(df.sparkSession, f"{path}/archives"), f"{path}/index")
+    return CaptureIndex(df.sparkSession, f"{path}/index").look_up(df, url_col)

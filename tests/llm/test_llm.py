@@ -89,6 +89,10 @@ def test_packing(spark, docs):
     for w in [*tk.get_vocab()][::7]:  # every token's own merges lead to it in both
         t = w.removesuffix("</w>")
         assert own.encode(t.encode()) == np.array(tk.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    odd = ["J\u030c H\u0331 T\u0308 W\u030a", "\u0130stanbul STRASSE \u00c9cole e\u0301cole E\u0301COLE \u03a3\u0399\u03a3", "a\u00a0b\u2003c\u0085d", "x\x1cy <|endoftext|> don't DON'T 3.14 \u0663\u0664 \ufb01n", "\u1e9e\u0345 \u01c5 \u212b"]
+    sample = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    for t in odd + sample:
+        assert own.encode(t.encode()) == np.array(tk.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t[:80]
     rows = packing.pack(docs, path, 1, 2048, with_ids=True).collect()
     by = {}
     for r in rows:
@@ -105,19 +109,46 @@ def test_packing(spark, docs):
     assert packing.pack(docs.limit(0), path, 1).count() == 0
 
 
+PAGES = [(1, "http://A.org/x", "p\r\n\r\nq"), (2, None, "p\r\n\r\nq"), (3, "a\r\nb", None), (4, "http://a.org/x", "z" * 70000), (None, "http://b.org", "q"), (5, "http://b.org", "q"), (5, "http://b.org", "q")]
+
+
 def test_warc(spark, tmp_path):
-    df = spark.createDataFrame([(1, "http://A.org/x", "p\r\n\r\nq"), (2, None, "p\r\n\r\nq"), (3, "a\r\nb", None), (4, "http://a.org/x", "z" * 70000)], "page_id long, url string, html string")
+    df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     warc.write_archives(df, f"file://{tmp_path}/w")
     read = warc.read_archives(spark, f"file://{tmp_path}/w", True)
     got = {r.page_id: r for r in read.collect()}
     assert got[1].refers_to == 2 and got[1].payload_bytes == 6 and got[2].record_type == "response" and got[3].payload_bytes == 0
+    assert got[None].refers_to == 5 and got[5].record_type == "response"
     warc.write_index(read, f"file://{tmp_path}/i")
     index = warc.CaptureIndex(spark, f"file://{tmp_path}/i")
-    found = index.captures("https://www.a.org/x")
+    found = list(index.captures("https://www.a.org/x"))
     assert {c["page_id"] for c in found} == {1, 4} and index.payload(next(c for c in found if c["page_id"] == 4)) == b"z" * 70000
+    assert not list(index.captures("http://nowhere.org"))
     assert warc.archive_round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_look_up_equals_scan(spark, tmp_path, monkeypatch):
+    """All URLs through the index, with small blocks and few directory entries at a time, give what a scan gives."""
+    monkeypatch.setattr(warc, "BLOCKS_AT_ONCE", 3)
+    pages = PAGES + [(100 + i, f"http://h{i % 7}.org/{i % 50}", f"page {i % 90}") for i in range(2500)] + [(5000 + i, "http://hot.org/", f"hot {i}") for i in range(2500)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    warc.write_archives(df, f"file://{tmp_path}/w")
+    scan = warc.read_archives(spark, f"file://{tmp_path}/w")
+    warc.write_index(scan, f"file://{tmp_path}/i")
+    index = warc.CaptureIndex(spark, f"file://{tmp_path}/i")
+    assert index.directory.count() > 4
+    assert sorted(map(str, index.look_up(df).collect())) == sorted(map(str, scan.collect()))
+    hot = spark.createDataFrame([("https://www.hot.org/",), (None,)], "url string")
+    assert sorted(r.page_id for r in index.look_up(hot).collect()) == [2, *range(5000, 7500)]
+
+
+def test_gzip_members_of_any_size():
+    rng = random.Random(1)
+    records = [b"", b"x", rng.randbytes(100), b"a" * (17 << 20), rng.randbytes(17 << 20)]
+    packed = [warc.member(r) for r in records]
+    assert all(p[-1] == 0 for p in packed) and [m[2] for m in warc.members(b"".join(packed))] == records
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(300, 8)).astype(np.float32)
