@@ -331,7 +331,9 @@ class CaptureIndex:
                 out = self._found(wanted, entries, out)
                 entries = []
         out = self._found(wanted, entries, out)
-        return _fetched(out.repartition("archive").sortWithinPartitions("archive", "offset"))
+        # a number, so that adaptive execution does not take the small rows for little work
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return _fetched(out.repartition(parts, "archive").sortWithinPartitions("archive", "offset"))
 
     def _found(self, wanted: DataFrame, entries: list[tuple], before: DataFrame | None) -> DataFrame:
         """before, and the captures (archive, offset, length) that the directory entries lead to."""

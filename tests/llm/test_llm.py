@@ -149,18 +149,55 @@ def test_gzip_members_of_any_size():
     assert all(p[-1] == 0 for p in packed) and [m[2] for m in warc.members(b"".join(packed))] == records
 
 
+def _best(q, i, k):
+    """(-score, position) of the k best rows for row i of the whole-number vectors q."""
+    s = q @ q[i]
+    return sorted((-int(s[j]), j) for j in range(len(q)) if j != i)[:k]
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(300, 8)).astype(np.float32)
     v[5] = v[6]
-    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(900, None), (901, [float("nan")] * 8), (902, [None] * 8)], "vec_id long, embedding array<float>")
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(900, None), (901, [float("nan")] * 8), (902, [None] * 8), (903, [1.0] * 3)], "vec_id long, embedding array<float>")
     q = np.floor(64 * v.astype(float)).astype(int)
-    for r_id in (0, 20):
-        s = q @ q[r_id]
-        want = sorted((-s[i], i) for i in range(300) if i != r_id)[:5]
-        got = topk_search.top_k(df, F.col("vec_id") == r_id, 5).orderBy("rank").collect()
-        assert [(-r.score, r.vec_id) for r in got] == want
+    got = topk_search.top_k(df, F.col("vec_id").isin(0, 20, 903), 5).orderBy("query_id", "rank").collect()
+    for i in (0, 20):
+        assert [(-r.score, r.vec_id) for r in got if r.query_id == i] == _best(q, i, 5)
+    assert {r.query_id for r in got} == {0, 20}
     assert topk_search.top_k(df.limit(0), F.lit(True), 5).count() == 0
+    twice = spark.createDataFrame([(1, [1.0]), (1, [1.0]), (2, [-1.0])], "vec_id long, embedding array<float>").withColumn("rank", F.lit("x"))
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in topk_search.top_k(twice, F.col("vec_id") == 1, 5).collect()] == [(1, 1, 1, 4096), (1, 2, 2, -4096)] * 2
+
+
+@pytest.mark.parametrize("clusters", [30, 0])
+def test_top_k_over_many_blocks(spark, monkeypatch, clusters):
+    """Small blocks, so that all passes run: clustered vectors, whose block pairs are pruned, and uniform ones."""
+    monkeypatch.setattr(topk_search, "DATA_BLOCK", 64)
+    monkeypatch.setattr(topk_search, "QUERY_BLOCK", 16)
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(3000, 16))
+    if clusters:
+        v = 4 * rng.normal(size=(clusters, 16))[rng.integers(0, clusters, 3000)] + 0.05 * v
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    q = np.floor(64 * v).astype(int)
+    got = {}
+    for r in topk_search.top_k(df, F.col("vec_id") % 20 == 0, 7).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    assert got == {i: _best(q, i, 7) for i in range(0, 3000, 20)}
+
+
+def test_cover_trees_prune():
+    rng = np.random.default_rng(2)
+    v = np.floor(64 * (4 * rng.normal(size=(30, 16))[rng.integers(0, 30, 2000)] + 0.05 * rng.normal(size=(2000, 16)))).astype(np.int64)
+    data, queries = topk_search.CoverTree(v), topk_search.CoverTree(v[::20])
+    assert len(data.centre) > 30 and any(data.children)
+    for node, below in enumerate(data.children):  # every row lies within its node's radius, and in one child
+        away = np.sqrt(((v[data.rows[node]] - v[data.centre[node]]) ** 2).sum(1))
+        assert (away <= data.radius[node]).all() and (not below or sorted(np.concatenate([data.rows[c] for c in below])) == sorted(data.rows[node]))
+    score, place, computed = topk_search.dual_tree_top_k(queries, np.arange(0, 2000, 20), data, np.arange(2000), np.arange(2000), 5)
+    assert computed < 0.5 * len(v) * len(v[::20])
+    assert all([(-int(s), int(p)) for s, p in zip(score[i], place[i])] == _best(v, 20 * i, 5) for i in range(100))
 
 
 def _classes_by_brute_force(texts):
