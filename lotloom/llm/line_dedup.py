@@ -2,8 +2,9 @@
 
 Lines are exploded and keyed by 128 bits of hash of their normalised form; distinct documents are counted for each
 key in two partial aggregations, so that a line in every document costs a row for each task. The lines of keys over
-the threshold are joined back by key (adaptive execution splits a hot key), gathered as dropped positions for each
-row, and cut out by position. Only DataFrame expressions are used.
+the threshold are joined back by key, those of the most frequent keys in the map tasks (there are HEAVY of them at
+most, as each is in that share of all lines), gathered as dropped positions for each row, and cut out by position.
+Only DataFrame expressions are used.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from lotloom.llm.common import OWN, UPPER, WHITE_SPACE, quoted, text_or_empty, written
 
 SEPARATOR = "\n"
+#: Keys in at least this part of all lines are broadcast; there can't be more than so many.
+HEAVY = 4096
 
 
 def line_key(line: Column) -> Column:
@@ -54,17 +57,20 @@ def drop_shared_lines(
         "lines",
     )
     hashes = [f"{OWN}h1", f"{OWN}h2"]
-    shared = (
+    shared = written(
         lines.groupBy(*hashes, own_id)
         .agg(F.lit(1).alias("one"))
         .groupBy(*hashes)
-        .agg(F.count(F.lit(1)).alias("n"), F.max(own_id).alias(f"{OWN}keeper"))
-        .where(F.col("n") >= min_docs)
-        .drop("n")
+        .agg(F.count(F.lit(1)).alias(f"{OWN}n"), F.max(own_id).alias(f"{OWN}keeper"))
+        .where(F.col(f"{OWN}n") >= min_docs),
+        "shared",
     )
+    is_heavy = F.col(f"{OWN}n") * HEAVY >= lines.count()
+    heavy, light = shared.where(is_heavy).drop(f"{OWN}n"), shared.where(~is_heavy).drop(f"{OWN}n")
+    rest = lines.join(F.broadcast(heavy.select(*hashes)), hashes, "left_anti")
+    found = lines.join(F.broadcast(heavy), hashes).unionByName(rest.join(light, hashes))
     dropped = (
-        lines.join(shared, hashes)
-        .where(~F.col(own_id).eqNullSafe(F.col(f"{OWN}keeper")))
+        found.where(~F.col(own_id).eqNullSafe(F.col(f"{OWN}keeper")))
         .groupBy(F.col(own_id).alias(f"{OWN}id2"), F.col(row).alias(f"{OWN}row2"))
         .agg(F.collect_set(pos).alias(f"{OWN}out"))
     )

@@ -45,14 +45,43 @@ def test_line_dedup(spark, docs):
     df = spark.createDataFrame([(i, f"own {i}\n {shared.upper() if i == 2 else shared}\t\n") for i in range(4)] + [(9, None), (None, shared)], "doc_id long, text string")
     got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in line_dedup.drop_shared_lines(df).collect()}
     assert got[0] == ("own 0\n", 3, 1) and got[3][2] == 0 and got[9] == ("", 1, 0) and got[None] == ("", 1, 1)
+    clash = line_dedup.drop_shared_lines(df.withColumns({"n_lines": F.lit("x"), "N_DROPPED": F.lit("y"), "_extra": F.lit(1)}))
+    assert clash.columns == ["doc_id", "text", "_extra", "n_lines", "n_dropped"] and {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in clash.collect()} == got
     assert line_dedup.drop_shared_lines(docs).count() == 6 and line_dedup.drop_shared_lines(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_light_and_heavy_keys(spark, monkeypatch):
+    """Keys that are broadcast and keys that are not drop the same lines."""
+    rng = random.Random(4)
+    pool = [f"a line that several documents may share, number {i}" for i in range(60)]
+    texts = [[rng.choice(pool) if rng.random() < 0.5 else f"a line that only document {d} has, number {n}" for n in range(rng.randint(1, 12))] for d in range(80)]
+    df = spark.createDataFrame([(d, "\n".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
+    holders = {}
+    for d, t in enumerate(texts):
+        for line in t:
+            holders.setdefault(line, set()).add(d)
+    want = {d: "\n".join(x for x in t if len(holders[x]) < 3 or max(holders[x]) == d) for d, t in enumerate(texts)}
+    for heavy in (1, 40, 4096):
+        monkeypatch.setattr(line_dedup, "HEAVY", heavy)
+        assert {r.doc_id: r.text for r in line_dedup.drop_shared_lines(df).collect()} == want
+
+
 def test_exact_dedup(spark, docs):
     got = exact_dedup.exact_groups(docs)
     assert got.where("kept").count() == 3 and {r.group_size for r in got.collect()} == {1, 2, 3}
     assert sorted(r.doc_id or 0 for r in exact_dedup.drop_exact_copies(docs).collect()) == [0, 2, 4]
     assert exact_dedup.exact_groups(docs.limit(0)).count() == 0
+    clash = exact_dedup.drop_exact_copies(docs.withColumns({"kept": F.lit(1), "group_size": F.lit(2)}))
+    assert clash.columns == [*docs.columns, "kept", "group_size"] and clash.count() == 3
+
+
+def test_exact_dedup_of_other_than_frequent_digests(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HEAVY", 1)
+    df = spark.createDataFrame([(i, f"t{i % 5}" + " " * (i % 7)) for i in range(100)], "doc_id long, text string")
+    got = exact_dedup.exact_groups(df).collect()
+    best = {g: min((-(len(f"t{g}") + i % 7), i) for i in range(100) if i % 5 == g)[1] for g in range(5)}
+    assert all((r.keep_id, r.group_size, r.kept) == (best[r.doc_id % 5], 20, r.doc_id == best[r.doc_id % 5]) for r in got) and len(got) == 100
+    assert {r.doc_id for r in exact_dedup.drop_exact_copies(df).collect()} == set(best.values())
 
 
 def test_mixing(spark, docs):
@@ -64,7 +93,22 @@ def test_mixing(spark, docs):
     assert abs(sum(r.taken for r in rows) - 1.5 * sum(r.size for r in rows)) < 0.02 * sum(r.size for r in rows)
     assert {tuple(r) for r in rows} == {tuple(r) for r in mixing.mix(df.repartition(3)).collect()}
     assert mixing.mix(docs).count() == 6 and mixing.mix(docs.limit(0)).count() == 0
-    assert mixing.repeat_by_mix(docs).columns == docs.columns
+    assert mixing.repeat_by_mix(docs).columns == docs.columns and mixing.repeat_by_mix(docs.limit(0)).count() == 0
+
+
+def test_mixing_repeats_rows_as_taken(spark):
+    """Rows alike in id, source and text share their times; the others have their own."""
+    rng = random.Random(6)
+    rows = [(i if i % 10 else None, " ".join("w" * rng.randint(1, 30)), f"s{i % 3}") for i in range(200)]
+    df = spark.createDataFrame(rows + rows[:40], "doc_id long, text string, source string").withColumn("size", F.lit("clash"))
+    taken = {}
+    for r in mixing.mix(df).collect():
+        taken.setdefault((r.doc_id, r.size), []).append((2 * r.taken + r.size) // (2 * r.size))
+    got = {}
+    for r in mixing.repeat_by_mix(df).collect():
+        key = (r.doc_id, len(r.text.split()))
+        got[key] = got.get(key, 0) + 1
+    assert got == {k: sum(v) for k, v in taken.items() if sum(v)}
 
 
 def test_first_fit_decreasing():
