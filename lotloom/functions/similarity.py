@@ -1,7 +1,7 @@
 """Best-window similarity of a key and a page (J5, F6, A14): the one linkage function Spark has no expression for.
 
 The ratio is that of Python's difflib, which is not symmetric: the key is the first sequence, the window the second.
-Pairs whose page contains the key are decided by `contains` outside and never reach Python. Windows are bounded by
+Pairs whose page contains the key are decided by `contains` outside, and no text of theirs goes to Python. Windows are bounded by
 their shared letters before the ratio is taken, which is exact: a ratio can't exceed that bound.
 """
 
@@ -54,7 +54,7 @@ def _windows(keys: pd.Series, pages: pd.Series) -> pd.DataFrame:
     out = []
     for pair in zip(keys, pages, strict=True):
         if pair not in seen:
-            seen[pair] = best_window(*pair)
+            seen[pair] = best_window(*(x if isinstance(x, str) else "" for x in pair))
         out.append(seen[pair])
     return pd.DataFrame(out, columns=["score", "occurrence"])
 
@@ -62,5 +62,8 @@ def _windows(keys: pd.Series, pages: pd.Series) -> pd.DataFrame:
 def window_similarity(key: Column, page: Column) -> Column:
     """struct(score, occurrence) of a compact key in a compact page; nulls count as empty."""
     k, p = F.coalesce(key, F.lit("")), F.coalesce(page, F.lit(""))
+    empty, found = (k == "") | (p == ""), F.contains(p, k)
+    # Spark evaluates a Python function for every row, so rows that need none give it nulls
+    open_ = ~empty & ~found
     settled = lambda score, text: F.struct(F.lit(score).alias("score"), text.alias("occurrence"))
-    return F.when((k == "") | (p == ""), settled(0.0, F.lit(""))).when(F.contains(p, k), settled(1.0, k)).otherwise(_windows(k, p))
+    return F.when(empty, settled(0.0, F.lit(""))).when(found, settled(1.0, k)).otherwise(_windows(F.when(open_, k), F.when(open_, p)))

@@ -37,7 +37,8 @@ def strip(c: Column) -> Column:
 def normalized(c: Column) -> Column:
     """Lower case, accents off, anything but a-z, 0-9 to single spaces (F1)."""
     flat = F.translate(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), ACCENTED, PLAIN)
-    flat = F.regexp_replace(flat, r"\p{Mn}+", "")
+    # plain ASCII, as most pages are, has nothing to replace
+    flat = F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.regexp_replace(flat, r"\p{Mn}+", ""))
     return F.trim(F.regexp_replace(flat, "[^a-z0-9]+", " "))
 
 

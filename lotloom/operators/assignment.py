@@ -1,15 +1,18 @@
 """One-to-one assignment of documents to manifest rows.
 
-The rounds of a lot depend on one another, so each lot is one grouped-map call over its candidate table: numbers
-only, without texts. Lots are dealt over tasks by key; the largest lot bounds a task, and a lot is a box of scanned
-paper. `best_mutual` is the relational form of a single round, for tables too large for a group.
+The rounds of a lot depend on one another, so each lot is settled in one piece from its candidate table: numbers
+only, without texts. Lots are dealt over tasks by key and stream through them one after another; the largest lot
+bounds a task, and a lot is a box of scanned paper. `best_mutual` is the relational form of a single round, for tables too large for a group.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 AMBIGUOUS, MISSING, UNMATCHED = "Ambigu", "Sans PDF", "Non affecté"
 DUPLICATE, MANY_EXACT, TIE, UNDECIDABLE = (
@@ -96,21 +99,38 @@ def assign(candidates: DataFrame) -> DataFrame:
         "lot_id", "doc_index", "row_number", "start_page", "is_exact", "is_duplicate", *[F.col(f"sort_key.{x}").alias(x) for x in parts]
     )
 
-    def per_lot(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = list(pdf[parts].itertuples(index=False, name=None))
-        cands = [
-            {"doc": d, "row": r, "start": s, "exact": e, "duplicate": u, "key": k, "signature": k[:5], "score": k[5]}
-            for d, r, s, e, u, k in zip(pdf.doc_index, pdf.row_number, pdf.start_page, pdf.is_exact, pdf.is_duplicate, keys, strict=True)
-        ]
-        given, of_doc, of_row = assign_lot(cands)
-        out = [("doc", d, r, None) for d, r in given.items()] + [("row", r, d, None) for d, r in given.items()]
-        out += [("doc", d, None, why) for d, why in of_doc.items()] + [("row", r, None, why) for r, why in of_row.items() if r not in given.values()]
-        frame = pd.DataFrame(out, columns=["side", "id", "partner", "reason"]).astype({"id": "Int64", "partner": "Int64"})
-        frame.insert(0, "lot_id", pdf.lot_id.iloc[0])
-        return frame
-
-    lot = candidates.schema["lot_id"].dataType.simpleString()
-    return narrow.groupBy("lot_id").applyInPandas(per_lot, RESULT.format(lot=lot))
+    def verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+
+        def settle(lot, cands: list[dict]) -> None:
+            given, of_doc, of_row = assign_lot(cands)
+            taken = set(given.values())
+            out.extend((lot, "doc", d, r, None) for d, r in given.items())
+            out.extend((lot, "row", r, d, None) for d, r in given.items())
+            out.extend((lot, "doc", d, None, why) for d, why in of_doc.items())
+            out.extend((lot, "row", r, None, why) for r, why in of_row.items() if r not in taken)
+
+        def flushed() -> pa.RecordBatch:
+            columns = zip(*out, strict=True) if out else [[]] * 5
+            got = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (lot_type, pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["lot_id", "side", "id", "partner", "reason"])
+            out.clear()
+            return got
+
+        lot, cands = None, []
+        for batch in batches:
+            for of, d, r, s, e, u, *k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if of != lot:
+                    settle(lot, cands)
+                    lot, cands = of, []
+                key = tuple(k)
+                cands.append({"doc": d, "row": r, "start": s, "exact": e, "duplicate": u, "key": key, "signature": key[:5], "score": key[5]})
+            yield flushed()
+        settle(lot, cands)
+        yield flushed()
+
+    lot_type = to_arrow_type(candidates.schema["lot_id"].dataType)
+    kind = candidates.schema["lot_id"].dataType.simpleString()
+    return narrow.repartition("lot_id").sortWithinPartitions("lot_id").mapInArrow(verdicts, RESULT.format(lot=kind))
 
 
 def best_mutual(pairs: DataFrame, left: str, right: str, order: list[Column]) -> DataFrame:

@@ -15,20 +15,20 @@ def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
-def sign_bits(vector: Column, n: int) -> Column:
-    """The signs of a vector's first n (62 at most) components as a long."""
-    picked = F.slice(vector, 1, n)
-    return F.aggregate(picked, F.lit(0).cast("long"), lambda acc, x: acc * 2 + F.when(x > 0, 1).otherwise(0))
+def sign_bits(vector: Column, n: int, bits: int = 32) -> Column:
+    """The signs of a vector's first n components as an array of longs of `bits` bits each."""
+    words = [F.slice(vector, at + 1, bits) for at in range(0, n, bits)]
+    return F.array(*[F.aggregate(w, F.lit(0).cast("long"), lambda acc, x: acc * 2 + F.when(x > 0, 1).otherwise(0)) for w in words])
 
 
 def nearest_two(queries: DataFrame, train: DataFrame, within: str, query: str = "query_id", to: str = "train_id") -> DataFrame:
     """The two nearest of each query in its group, by Hamming distance, ties to the smaller id.
 
-    Both have `descriptor`, an array of longs. A template has a few hundred descriptors, so a page's pairs are few;
+    Both have `descriptor`, an array of longs. A descriptor does not meet the one of its own id. A template has a few hundred descriptors, so a page's pairs are few;
     the ranking keeps two rows for each query before it shuffles.
     """
     met = queries.join(train.withColumnRenamed("descriptor", "_other"), within)
-    far = met.select(within, query, to, hamming(F.col("descriptor"), F.col("_other")).alias("distance"))
+    far = met.where(F.col(query) != F.col(to)).select(within, query, to, hamming(F.col("descriptor"), F.col("_other")).alias("distance"))
     order = Window.partitionBy(within, query).orderBy("distance", to)
     return far.withColumn("rank", F.row_number().over(order)).where("rank <= 2")
 

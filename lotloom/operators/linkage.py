@@ -6,14 +6,21 @@ plan is a nested loop over everything; inside a lot every pair counts, because e
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType
 
 from lotloom.functions import scores, text
 from lotloom.functions.similarity import window_similarity
 
+#: Characters of the keys that tasks hold at once.
+KEY_BYTES = 16 << 20
 ROW_KEY = ["commande", "client_number", "distributeur", "client", "cote", "caisse"]
 
 
@@ -47,15 +54,44 @@ def pairs(documents: DataFrame, rows: DataFrame, page: str = "first_page_compact
     return found.withColumns({"client_score": F.col("client_window.score"), "distributor_score": F.col("distributor_window.score")})
 
 
-def contained_links(docs: DataFrame, keys: DataFrame, doc: str, page: str, key_id: str, key: str, length: int) -> DataFrame:
-    """Links of pages that contain a key of a fixed length, without a nested loop: page n-grams meet keys by hash.
+def contained_links(docs: DataFrame, keys: DataFrame, doc: str, page: str, key_id: str, key: str, chunk_bytes: int = KEY_BYTES) -> DataFrame:
+    """Links (doc, key_id) of pages that contain a whole key, of whatever length.
 
-    Keys shorter than `length` find nothing, longer ones are cut to it; a page gives each of its n-grams once.
+    An automaton over the keys reads each page once, so pages are not shuffled and nothing is compared pair by pair.
+    Keys go to the tasks in chunks of chunk_bytes at most, each with a pass over the pages. Null and empty keys find
+    nothing; a key is found once a page, and repeated keys and docs link as often as they are there.
     """
-    grams = docs.select(doc, F.explode(F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.char_length(page) - length + 1, F.lit(1))), lambda i: F.substr(F.col(page), i, F.lit(length))))).alias("gram"))
-    sought = keys.select(key_id, F.substring(key, 1, length).alias("gram")).where(F.char_length("gram") == length)
-    return grams.join(sought, "gram").select(doc, key_id)
+    import ahocorasick
+
+    kind = docs.schema[doc].dataType.simpleString(), keys.schema[key_id].dataType.simpleString()
+    schema = f"`{doc}` {kind[0]}, `{key_id}` {kind[1]}"
+
+    def passed(chunk: dict[str, list]) -> DataFrame:
+        sent = docs.sparkSession.sparkContext.broadcast(chunk)
+
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = ahocorasick.Automaton()
+            for k, ids in sent.value.items():
+                automaton.add_word(k, (k, ids))
+            automaton.make_automaton()
+            for batch in batches:
+                of, found = [], []
+                for i, text_ in enumerate(batch.column(1).to_pylist()):
+                    for _, ids in dict(v for _, v in automaton.iter(text_)).items() if text_ else ():
+                        of += [i] * len(ids)
+                        found += ids
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), pa.array(found, batch_kind)], names=[doc, key_id])
+
+        return docs.select(doc, page).mapInArrow(find, schema)
+
+    batch_kind = to_arrow_type(keys.schema[key_id].dataType)
+    out, chunk, size = docs.sparkSession.createDataFrame([], schema), {}, 0
+    for r in keys.select(key_id, key).where(F.length(key) > 0).toLocalIterator():
+        if size + len(r[1]) > chunk_bytes and chunk:
+            out, chunk, size = out.unionByName(passed(chunk)), {}, 0
+        chunk.setdefault(r[1], []).append(r[0])
+        size += len(r[1])
+    return out.unionByName(passed(chunk)) if chunk else out
 
 
 def strict_candidates(found: DataFrame) -> DataFrame:
@@ -79,6 +115,26 @@ def strict_candidates(found: DataFrame) -> DataFrame:
     )
 
 
+def field_results(found: DataFrame) -> DataFrame:
+    """found with fields: what was sought of each manifest field, whether and as what it was found, and its score."""
+    digit_fields = {"commande": ("order_exact", "variants"), "client_number": ("client_exact", "client_digits")}
+    page = F.coalesce(F.col("first_page_compact"), F.lit(""))
+    fields = []
+    for name, (sign, _) in digit_fields.items():
+        sought = F.array_join("variants", " | ") if name == "commande" else F.col("client_digits")
+        hit = text.first_contained(F.col("variants"), page) if name == "commande" else F.col("client_digits")
+        fields.append((name, F.col(sign), sought, F.when(F.col(sign), hit), F.col(sign).cast("int").cast("double")))
+    for name, key, window, score in (
+        ("distributeur", "distributor_key", "distributor_window", "distributor_score"),
+        ("client", "client_key", "client_window", "client_score"),
+    ):
+        fields.append((name, F.col(score) > 0.90, F.col(key), F.when(F.col(score) > 0, F.col(f"{window}.occurrence")), F.col(score)))
+    return found.withColumn("fields", F.array(*[
+        F.struct(F.lit(n).alias("field"), m.alias("matched"), F.coalesce(F.col(n), F.lit("")).alias("expected"), sought.alias("normalized"), score.alias("score"), hit.alias("occurrence"))
+        for n, m, sought, hit, score in fields
+    ]))
+
+
 def strict_assignments(documents: DataFrame, candidates: DataFrame) -> DataFrame:
     """Documents with accepted count, assigned row and blocked reason; rows claimed twice are nobody's."""
     accepted = candidates.where("qualifies").groupBy("lot_id", "doc_index").agg(
@@ -122,7 +178,11 @@ def rounded(c: Column, places: int) -> Column:
 
     @F.pandas_udf(DoubleType())
     def exact(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: round(v, places))
+        x = values.to_numpy(np.float64) * 10**places
+        out = np.rint(x) / 10**places
+        for i in np.flatnonzero(np.abs(x - np.floor(x) - 0.5) < 1e-6):  # only near ties does the binary value matter
+            out[i] = round(float(values.iat[i]), places)
+        return pd.Series(out)
 
     return exact(c.cast("double"))
 
@@ -143,9 +203,12 @@ def sort_key() -> Column:
 
 
 def duplicate_rows(rows: DataFrame) -> DataFrame:
-    """rows with is_duplicate: another row of the lot has the same six keys."""
+    """rows with is_duplicate: another row of the lot has the same six keys.
+
+    Keys are counted before they meet the rows again, so that a key that very many rows have costs a row a task.
+    """
     keys = [text.digits(F.col(c)) if c in ("commande", "client_number") else text.compact(F.col(c)) for c in ROW_KEY]
-    named = [F.coalesce(k, F.lit("")).alias(f"k{i}") for i, k in enumerate(keys)]
-    return rows.withColumn("_key", F.struct(*named)).withColumn(
-        "is_duplicate", F.count(F.lit(1)).over(Window.partitionBy("lot_id", "_key")) > 1
-    ).drop("_key")
+    named = F.struct(*[F.coalesce(k, F.lit("")).alias(f"k{i}") for i, k in enumerate(keys)])
+    keyed = rows.withColumn("_key", named)
+    twice = keyed.groupBy("lot_id", "_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return keyed.join(twice, ["lot_id", "_key"], "left").withColumn("is_duplicate", F.col("_n").isNotNull()).select(*rows.columns, "is_duplicate")

@@ -12,6 +12,7 @@ from lotloom.operators import assignment, linkage, reconciliation, segments, zon
 from lotloom.streaming.pages import classified
 
 METHODS = ("orb", "hybrid", "paper")
+SKIPPED = "Skipped ORB confirmation because anchor score was below gate"
 
 
 @dataclass(frozen=True)
@@ -35,6 +36,17 @@ class Config:
         object.__setattr__(self, "threshold", threshold)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df, computed once: a checkpoint in the folder that spark.checkpoint.dir names, else persisted with its lineage."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        return df.persist()
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def analyze_lots(pages: DataFrame, rows: DataFrame, config: Config = Config()) -> dict[str, DataFrame]:
     """Strict validation: documents with candidates, assignments, issues and summary of every lot."""
     read = classified(pages, config.min_keywords)
@@ -42,7 +54,8 @@ def analyze_lots(pages: DataFrame, rows: DataFrame, config: Config = Config()) -
     documents = segments.with_first_page(
         segments.ranges(read, start), read.select("lot_id", "page_number", F.col("ocr_compact").alias("first_page_compact"))
     )
-    candidates = linkage.strict_candidates(linkage.pairs(documents.where("first_page_compact IS NOT NULL"), rows))
+    found = linkage.field_results(linkage.pairs(documents.where("first_page_compact IS NOT NULL"), rows))
+    candidates = kept(linkage.strict_candidates(found.drop("first_page_compact", "client_window", "distributor_window")))
     claims = linkage.strict_assignments(documents, candidates)
     issues = reconciliation.validation_issues(read, start, documents, rows, claims)
     return {
@@ -56,8 +69,9 @@ def reconcile_lots(pages: DataFrame, rows: DataFrame, is_start: Column, compact:
     ranges = segments.ranges_with_leading(pages, is_start).withColumn("file_name", F.concat(F.col("doc_index").cast("string"), F.lit(".pdf")))
     documents = segments.with_first_page(ranges, pages.select("lot_id", "page_number", F.col(compact).alias("first_page_compact")))
     flagged = linkage.duplicate_rows(rows)
-    candidates = linkage.recon_candidates(linkage.pairs(documents, flagged))
-    verdicts = assignment.assign(candidates)
+    # used three times, and similarity is costly: kept, without the texts that nothing needs any more
+    candidates = kept(linkage.recon_candidates(linkage.pairs(documents, flagged).drop("first_page_compact", "client_window", "distributor_window")))
+    verdicts = kept(assignment.assign(candidates))
     row_lines = reconciliation.row_output(rows, candidates, verdicts)
     document_lines = reconciliation.document_output(documents, candidates, verdicts)
     return {
@@ -81,11 +95,16 @@ def separate(features: DataFrame, config: Config = Config()) -> dict[str, DataFr
             {
                 "score": scores.hybrid_score(F.col("visual"), F.col("orb")),
                 "matched": scores.hybrid_matched(F.col("visual"), F.col("critical"), F.col("orb"), t),
-                "warnings": scores.hybrid_warnings(F.col("visual"), F.col("critical"), F.col("orb"), t),
+                "warnings": F.array_distinct(F.concat(
+                    F.when(gate, F.array().cast("array<string>")).otherwise(F.array(F.lit(SKIPPED))),
+                    scores.hybrid_warnings(F.col("visual"), F.col("critical"), F.col("orb"), t),
+                )),
             }
         )
     else:
-        out = features.withColumns({"score": F.col("inlier_ratio"), "matched": scores.paper_matched(F.col("success"), F.col("inlier_ratio"), config.threshold)})
+        # a page whose alignment failed scores 0, whatever ratio was left over
+        score = F.when(F.coalesce("success", F.lit(False)), F.coalesce("inlier_ratio", F.lit(0.0))).otherwise(F.lit(0.0))
+        out = features.withColumns({"score": score, "matched": scores.paper_matched(F.col("success"), F.col("inlier_ratio"), config.threshold)})
     return {"pages": out, "documents": segments.ranges(out, F.col("matched"))}
 
 

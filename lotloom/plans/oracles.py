@@ -26,9 +26,94 @@ def _missing(n: str) -> str:
 
 PAGES = "p AS (SELECT conv_id AS lot_id, turn + 1 AS page_number, role, text AS ocr_raw FROM conversations)"
 EVENT_PAGES = "e AS (SELECT user_id AS lot_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS page_number, event_type FROM events)"
-LINKS = f"""k AS (SELECT item_id, substr({compact("text")}, 1, 40) AS key FROM benchmark),
-d AS (SELECT doc_id, {compact("text")} AS page FROM documents),
-links AS (SELECT doc_id, item_id FROM d JOIN k ON contains(page, key) WHERE length(key) = 40)"""
+LOTS = """l AS (SELECT l_orderkey AS lot_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n, l_partkey, l_suppkey, l_quantity FROM lineitem),
+pg AS (SELECT lot_id, n AS page_number, l_partkey % 4 > 0 AS is_start, CASE WHEN l_suppkey % 10 > 0 THEN 'x' END AS compact FROM l),
+rw AS (SELECT lot_id, n AS row_number, 'N ' || (l_suppkey % 3) AS commande, (l_suppkey % 2)::VARCHAR AS client_number, 'Été ' || (l_suppkey % 2) AS distributeur, 'c' AS client,
+  NULL::VARCHAR AS cote, '1' AS caisse, count(*) OVER (PARTITION BY lot_id, l_suppkey % 3, l_suppkey % 2) > 1 AS is_duplicate FROM l WHERE l_quantity > 10),
+tot AS (SELECT lot_id, count(*) AS total FROM pg GROUP BY lot_id)"""
+
+
+def _pairs(documents: str) -> str:
+    return f"""(SELECT * EXCLUDE (k), k % 4 = 0 AS oe, k % 3 = 0 AS ce, least((k % 5) / 4.0::DOUBLE, 1) AS c, least((k % 7) / 5.0::DOUBLE, 1) AS d
+  FROM (SELECT *, doc_index * 31 + row_number * 17 + lot_id AS k FROM {documents} JOIN rw USING (lot_id)))"""
+
+
+STRICT = f"""{LOTS},
+sd AS MATERIALIZED (SELECT lot_id, (row_number() OVER w)::INT AS doc_index, page_number AS start_page, compact FROM pg WHERE is_start WINDOW w AS (PARTITION BY lot_id ORDER BY page_number)),
+sp AS {_pairs("(SELECT * FROM sd WHERE compact IS NOT NULL)")},
+sc AS MATERIALIZED (SELECT *, oe::INT * 0.35::DOUBLE + ce::INT * 0.25::DOUBLE + d * 0.2::DOUBLE + c * 0.2::DOUBLE AS score, oe AND ce AND d > 0.9 AND c > 0.9 AS qualifies,
+  oe::INT + ce::INT + (d > 0.9)::INT + (c > 0.9)::INT AS n_matched FROM sp WHERE oe OR ce OR d > 0.9 OR c > 0.9),
+ac AS (SELECT lot_id, doc_index, count(*) AS n_accepted, min(row_number) AS claimed FROM sc WHERE qualifies GROUP BY ALL),
+c0 AS (SELECT sd.*, coalesce(n_accepted, 0) AS n_accepted, CASE WHEN n_accepted = 1 THEN claimed END AS claimed_row FROM sd LEFT JOIN ac USING (lot_id, doc_index)),
+cl AS MATERIALIZED (SELECT *, CASE WHEN claimed_row IS NOT NULL THEN count(*) OVER (PARTITION BY lot_id, claimed_row) END AS n_claims FROM c0),
+iss AS MATERIALIZED (
+  SELECT lot_id, 'document_count_mismatch' AS code, 'Detected ' || coalesce(x.n, 0) || ' documents for ' || coalesce(y.n, 0) || ' CSV rows' AS message, 'error' AS severity,
+    NULL::BIGINT AS doc_index, NULL::BIGINT AS page_number, NULL::BIGINT AS row_number
+  FROM (SELECT lot_id, count(*) AS n FROM sd GROUP BY lot_id) x FULL JOIN (SELECT lot_id, count(*) AS n FROM rw GROUP BY lot_id) y USING (lot_id) WHERE coalesce(x.n, 0) <> coalesce(y.n, 0)
+  UNION ALL SELECT lot_id, 'no_start_pages', 'No document start pages were detected', 'error', NULL, NULL, NULL FROM tot WHERE lot_id NOT IN (SELECT lot_id FROM sd)
+  UNION ALL SELECT lot_id, 'leading_pages_before_first_start', 'First detected document starts at page ' || min(start_page) || ', not page 1', 'error', NULL, min(start_page), NULL FROM sd GROUP BY lot_id HAVING min(start_page) <> 1
+  UNION ALL SELECT lot_id, 'missing_first_page_ocr', 'Document ' || doc_index || ' has no first-page OCR payload', 'error', doc_index, start_page, NULL FROM cl WHERE compact IS NULL
+  UNION ALL SELECT lot_id, 'no_match', 'Document ' || doc_index || ' has no valid CSV match', 'error', doc_index, start_page, NULL FROM cl WHERE compact IS NOT NULL AND n_accepted = 0
+  UNION ALL SELECT lot_id, 'ambiguous_match', 'Document ' || doc_index || ' has ' || n_accepted || ' valid CSV candidates', 'error', doc_index, start_page, NULL FROM cl WHERE compact IS NOT NULL AND n_accepted > 1
+  UNION ALL SELECT lot_id, 'duplicate_row_assignment', 'CSV row ' || claimed_row || ' is assigned to multiple documents', 'error', doc_index, NULL, claimed_row FROM cl WHERE n_claims > 1)"""
+ROUNDS = 7  # a lot has at most so many documents
+
+
+def _rounds() -> str:
+    """CTEs of the rounds of proposals: g1, g2, ... are who is given what, t1, t2, ... what is left."""
+    out = []
+    for i in range(ROUNDS):
+        out.append(f"""o{i} AS (SELECT *, row_number() OVER w AS r, lead(g) OVER w AS g2 FROM t{i} WINDOW w AS (PARTITION BY lot_id, doc_index ORDER BY k)),
+g{i + 1} AS MATERIALIZED (SELECT lot_id, doc_index, row_number FROM o{i} WHERE r = 1 AND (g2 IS NULL OR g2 <> g) QUALIFY row_number() OVER (PARTITION BY lot_id, row_number ORDER BY k) = 1),
+t{i + 1} AS MATERIALIZED (SELECT * FROM t{i} WHERE (lot_id, doc_index) NOT IN (SELECT (lot_id, doc_index) FROM g{i + 1}) AND (lot_id, row_number) NOT IN (SELECT (lot_id, row_number) FROM g{i + 1}))""")
+    return ",\n".join(out)
+
+
+RECON = f"""{LOTS},
+rp AS (SELECT *, sum(is_start::INT) OVER (PARTITION BY lot_id ORDER BY page_number) AS doc FROM pg),
+rd AS MATERIALIZED (SELECT lot_id, doc::INT AS doc_index, min(page_number) AS start_page, max(page_number) AS end_page, count(*) AS page_count, doc::INT || '.pdf' AS file_name FROM rp GROUP BY lot_id, doc),
+c1 AS (SELECT *, oe::INT * 35.0::DOUBLE + ce::INT * 35.0::DOUBLE + c * 15.0::DOUBLE + d * 15.0::DOUBLE AS raw FROM {_pairs("rd")}),
+c2 AS (SELECT *, round_even(raw::DECIMAL(38, 15), 3)::DOUBLE AS g, greatest(0, least(100, round_even(raw, 0)::INT)) AS percent, (oe AND ce)::INT AS twice, round_even(c * 100, 0)::INT AS cp,
+  round_even(d * 100, 0)::INT AS dp, (oe AND ce AND (c >= 0.9 OR d >= 0.9)) OR ((oe OR ce) AND c >= 0.7 AND d >= 0.8) AS exact,
+  list_filter([CASE WHEN NOT oe THEN 'Commande' END, CASE WHEN NOT ce THEN 'N° Client' END, CASE WHEN c < 0.9 THEN 'Client (' || round_even(c * 100, 0)::INT || ')' END,
+    CASE WHEN d < 0.7 THEN 'Distributeur (' || round_even(d * 100, 0)::INT || ')' END], lambda v: v IS NOT NULL) AS verify FROM c1),
+cd AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lot_id ORDER BY twice DESC, oe DESC, ce DESC, dp DESC, cp DESC, g DESC, row_number, start_page) AS k FROM c2),
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lot_id, doc_index ORDER BY k) AS rank_for_doc, row_number() OVER (PARTITION BY lot_id, row_number ORDER BY k) AS rank_for_row FROM cd)"""
+ASSIGNED = f"""{RECON},
+x AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lot_id, doc_index ORDER BY k) AS i, concat_ws('|', twice, oe, ce, dp, cp) AS sig FROM cd WHERE exact),
+amb AS MATERIALIZED (SELECT lot_id, doc_index, CASE WHEN bool_or(is_duplicate) THEN 'Doublon possible' ELSE 'Plusieurs exact matches' END AS why
+  FROM x GROUP BY ALL HAVING count(*) > 1 AND count(DISTINCT CASE WHEN i <= 2 THEN sig END) = 1),
+ambr AS MATERIALIZED (SELECT lot_id, row_number, arg_min(why, start_page) AS why FROM x JOIN amb USING (lot_id, doc_index) GROUP BY ALL),
+sure AS MATERIALIZED (SELECT * FROM x WHERE i = 1 AND (lot_id, doc_index) NOT IN (SELECT (lot_id, doc_index) FROM amb)),
+g0 AS MATERIALIZED (SELECT lot_id, doc_index, row_number FROM sure WHERE (lot_id, row_number) NOT IN (SELECT (lot_id, row_number) FROM ambr)
+  QUALIFY row_number() OVER (PARTITION BY lot_id, row_number ORDER BY k) = 1),
+t0 AS MATERIALIZED (SELECT * FROM cd WHERE (lot_id, doc_index) NOT IN (SELECT (lot_id, doc_index) FROM x) AND (lot_id, row_number) NOT IN (SELECT (lot_id, row_number) FROM ambr)
+  AND (lot_id, row_number) NOT IN (SELECT (lot_id, row_number) FROM g0)),
+{_rounds()},
+given AS MATERIALIZED ({" UNION ALL ".join(f"SELECT * FROM g{i}" for i in range(ROUNDS + 1))}),
+tied AS MATERIALIZED (SELECT *, count(*) OVER p AS n, bool_or(is_duplicate) OVER p AS dup FROM (SELECT * FROM t{ROUNDS} QUALIFY g = first_value(g) OVER (PARTITION BY lot_id, doc_index ORDER BY k)) WINDOW p AS (PARTITION BY lot_id, doc_index)),
+tw AS MATERIALIZED (SELECT *, CASE WHEN dup THEN 'Doublon possible' ELSE 'Ex æquo sur le meilleur score' END AS why FROM tied WHERE n > 1),
+v AS MATERIALIZED (SELECT lot_id, 'doc' AS side, doc_index::BIGINT AS id, row_number::BIGINT AS partner, NULL::VARCHAR AS reason FROM given
+  UNION ALL SELECT lot_id, 'row', row_number, doc_index, NULL FROM given
+  UNION ALL SELECT lot_id, 'doc', doc_index, NULL, why FROM amb
+  UNION ALL SELECT lot_id, 'doc', doc_index, NULL, 'Affectation non tranchable' FROM sure WHERE (lot_id, doc_index) NOT IN (SELECT (lot_id, doc_index) FROM g0)
+  UNION ALL SELECT DISTINCT lot_id, 'doc', doc_index, NULL, why FROM tw
+  UNION ALL SELECT lot_id, 'row', row_number, NULL, why FROM ambr
+  UNION ALL SELECT lot_id, 'row', row_number, NULL, arg_min(why, start_page) FROM tw GROUP BY lot_id, row_number)"""
+_OUI = lambda c: f"CASE WHEN {c} IS NULL THEN '' WHEN {c} THEN 'oui' ELSE 'non' END"
+_KEYS = ("commande", "client_number", "distributeur", "client", "cote", "caisse")
+OUTPUTS = f"""{ASSIGNED},
+ro AS MATERIALIZED (SELECT rw.lot_id, rw.row_number, {", ".join(f"rw.{c}" for c in _KEYS)}, partner IS NOT NULL AS done, reason, q.* EXCLUDE (lot_id, row_number, {", ".join(_KEYS)})
+  FROM rw LEFT JOIN (SELECT * FROM v WHERE side = 'row') vr ON vr.lot_id = rw.lot_id AND vr.id = rw.row_number
+  JOIN ranked q ON q.lot_id = rw.lot_id AND q.row_number = rw.row_number AND (q.doc_index = partner OR (partner IS NULL AND rank_for_row = 1))),
+rl AS MATERIALIZED (SELECT *, CASE WHEN done AND len(verify) = 0 THEN 'OK' WHEN done THEN 'À vérifier' WHEN reason IS NOT NULL THEN 'Ambigu' ELSE 'Sans PDF' END AS status,
+  coalesce(reason, 'Aucun PDF n''a pu être affecté automatiquement') AS why FROM ro),
+dl AS MATERIALIZED (SELECT rd.lot_id, rd.file_name, rd.start_page, rd.end_page, rd.page_count, partner IS NOT NULL AS done, reason, q.* EXCLUDE (lot_id, file_name, start_page, end_page, page_count, doc_index)
+  FROM rd LEFT JOIN (SELECT * FROM v WHERE side = 'doc') vd ON vd.lot_id = rd.lot_id AND vd.id = rd.doc_index
+  LEFT JOIN ranked q ON q.lot_id = rd.lot_id AND q.doc_index = rd.doc_index AND (q.row_number = partner OR (partner IS NULL AND rank_for_doc = 1)))"""
+FEATURES = """f AS (SELECT l_orderkey AS lot_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS page_number, CASE WHEN l_linenumber % 5 > 0 THEN l_partkey % 3 > 0 END AS success,
+  (l_suppkey % 100) / 100.0::DOUBLE AS inlier, l_partkey % 60 AS used, l_quantity / 50.0::DOUBLE AS v, (l_suppkey * 7 % 100) / 100.0::DOUBLE AS c FROM lineitem),
+s AS (SELECT *, CASE WHEN success THEN inlier ELSE 0 END AS score, coalesce(success AND inlier >= 0.4::DOUBLE, false) AS matched FROM f)"""
 SCORED = """s AS (SELECT l_orderkey AS doc, l_linenumber AS line, (l_orderkey * 7 + l_linenumber * 13) % 3 = 0 AS oe, (l_orderkey * 7 + l_linenumber * 13) % 5 < 2 AS ce,
   ((l_quantity::BIGINT * 2) % 101)::DOUBLE / 100 AS c, (l_suppkey % 101)::DOUBLE / 100 AS d FROM lineitem),
 g AS (SELECT *, oe::INT * 35.0::DOUBLE + ce::INT * 35.0::DOUBLE + c * 15.0::DOUBLE + d * 15.0::DOUBLE AS raw FROM s)"""
@@ -46,10 +131,10 @@ CHOSEN = """r AS (SELECT o_orderkey AS source_row, CASE WHEN o_orderkey % 10 > 0
 rk AS (SELECT *, lower(trim(pdf_name)) AS key FROM r),
 a AS (SELECT 'c' || c_custkey || '.pdf' AS pdf_name FROM customer),
 u AS (SELECT key, count(*) AS n FROM rk WHERE key <> '' GROUP BY key)"""
-DESCRIPTORS = """v AS (SELECT vec_id, label, list_reduce(list_prepend(0::BIGINT, list_transform(embedding[1:62], lambda x: (x > 0)::BIGINT)), lambda a, b: a * 2 + b) AS bits FROM embeddings),
-n2 AS (SELECT * FROM (SELECT q.label, q.vec_id AS query_id, t.vec_id AS train_id, bit_count(xor(q.bits, t.bits))::INT AS distance,
-  row_number() OVER (PARTITION BY q.label, q.vec_id ORDER BY bit_count(xor(q.bits, t.bits)), t.vec_id) AS rank
-  FROM v q JOIN v t ON q.label = t.label WHERE q.vec_id % 2 = 0 AND t.vec_id % 2 = 1) WHERE rank <= 2)"""
+_BITS = lambda a, b: f"list_reduce(list_prepend(0::BIGINT, list_transform(embedding[{a}:{b}], lambda x: (x > 0)::BIGINT)), lambda a, b: a * 2 + b)"
+DESCRIPTORS = f"""v AS MATERIALIZED (SELECT vec_id, label, {_BITS(1, 32)} AS high, {_BITS(33, 64)} AS low FROM embeddings),
+m AS (SELECT q.label, q.vec_id AS query_id, t.vec_id AS train_id, (bit_count(xor(q.high, t.high)) + bit_count(xor(q.low, t.low)))::INT AS distance FROM v q JOIN v t ON q.label = t.label WHERE q.vec_id <> t.vec_id),
+n2 AS (SELECT *, row_number() OVER (PARTITION BY label, query_id ORDER BY distance, train_id) AS rank FROM m QUALIFY rank <= 2)"""
 
 ORACLES = {
     "text_normalize": f"SELECT doc_id, {norm('text')} AS norm FROM documents",
@@ -80,29 +165,57 @@ g AS (SELECT lot_id, coalesce(lag(mark) OVER (PARTITION BY lot_id ORDER BY mark)
 SELECT *, gap_end - gap_start + 1 AS gap_length FROM g WHERE gap_end - gap_start + 1 >= 15""",
     "leading_pages_check": f"""WITH {EVENT_PAGES}, f AS (SELECT lot_id, min(page_number) FILTER (WHERE event_type = 'signup') AS first FROM e GROUP BY lot_id)
 SELECT lot_id, CASE WHEN first IS NULL THEN 'no_start_pages' ELSE 'leading_pages_before_first_start' END AS code, first AS page_number FROM f WHERE first IS NULL OR first <> 1""",
-    "exact_link": f"WITH {LINKS} SELECT * FROM links",
-    "strict_rank": f"WITH {LINKS} SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY item_id) AS place, count(*) OVER (PARTITION BY doc_id) AS n_accepted FROM links",
-    "duplicate_claims": f"""WITH {LINKS}, o AS (SELECT doc_id, min(item_id) AS item_id FROM links GROUP BY doc_id HAVING count(*) = 1)
-SELECT *, count(*) OVER (PARTITION BY item_id) AS n_claims FROM o""",
-    "duplicate_rows": f"""WITH k AS (SELECT doc_id, {compact("text")} AS key FROM documents), n AS (SELECT doc_id, count(*) OVER (PARTITION BY key) AS n_alike FROM k)
-SELECT * FROM n WHERE n_alike > 1""",
+    "exact_link": f"""WITH k AS MATERIALIZED (SELECT item_id, {compact("text")} AS key FROM benchmark), d AS MATERIALIZED (SELECT doc_id, {compact("text")} AS page FROM documents)
+SELECT doc_id, item_id FROM d JOIN k ON contains(page, key) WHERE key <> ''""",
+    "number_link": f"""WITH d AS MATERIALIZED (SELECT doc_id, {compact("text")} AS page FROM documents), o AS (SELECT DISTINCT lpad((o_orderkey % 5000)::VARCHAR, 4, '0') AS "order" FROM orders),
+k AS MATERIALIZED (SELECT "order", "order" AS key FROM o UNION SELECT "order", 'f' || substr("order", 2) FROM o WHERE "order" LIKE '0%')
+SELECT DISTINCT doc_id, "order" FROM d JOIN k ON contains(page, key)""",
+    "strict_rank": f"""WITH {STRICT} SELECT lot_id, doc_index, row_number, round(score, 6) AS score, qualifies, n_matched,
+  row_number() OVER (PARTITION BY lot_id, doc_index ORDER BY qualifies DESC, oe DESC, ce DESC, n_matched DESC, score DESC, row_number) AS rank,
+  count(*) FILTER (WHERE qualifies) OVER (PARTITION BY lot_id, doc_index) AS n_accepted FROM sc""",
+    "duplicate_claims": f"""WITH {STRICT} SELECT lot_id, doc_index, n_accepted, claimed_row, n_claims, CASE WHEN n_claims = 1 THEN claimed_row END AS assigned_row,
+  CASE WHEN compact IS NULL THEN 'Missing first-page OCR' WHEN n_accepted = 0 THEN 'No CSV row satisfied the exact numeric and fuzzy text rule'
+    WHEN n_accepted > 1 THEN 'Multiple CSV rows satisfy the matching rule' WHEN n_claims > 1 THEN 'CSV row ' || claimed_row || ' is claimed by multiple documents' END AS blocked_reason FROM cl""",
+    "strict_issues": f"WITH {STRICT} SELECT * FROM iss",
+    "lot_summary": f"""WITH {STRICT} SELECT lot_id, total AS total_pages, (SELECT count(*) FROM rw WHERE rw.lot_id = tot.lot_id) AS csv_row_count,
+  (SELECT count(*) FROM sd WHERE sd.lot_id = tot.lot_id) AS detected_document_count, (SELECT count(*) FROM cl WHERE cl.lot_id = tot.lot_id AND n_claims = 1) AS matched_document_count,
+  lot_id IN (SELECT lot_id FROM iss WHERE severity <> 'warning') AS validation_blocked FROM tot""",
+    "duplicate_rows": f"WITH {LOTS} SELECT lot_id, row_number, is_duplicate FROM rw",
+    "recon_rank": f"""WITH {RECON} SELECT lot_id, doc_index, row_number, g AS global_score, percent AS global_percent, exact AS is_exact, cp AS client_percent, dp AS distributor_percent,
+  array_to_string(verify, '; ') AS verify, rank_for_doc, rank_for_row, coalesce(g = lead(g) OVER (PARTITION BY lot_id, doc_index ORDER BY k), false) AS tie FROM ranked""",
+    "greedy_assign": f"WITH {ASSIGNED} SELECT * FROM v",
+    "unassigned_rows": f"WITH {ASSIGNED} SELECT lot_id, row_number FROM rw WHERE (lot_id, row_number) NOT IN (SELECT (lot_id, row_number) FROM given)",
+    "unassigned_docs": f"WITH {ASSIGNED} SELECT lot_id, doc_index::BIGINT AS doc_index FROM rd WHERE (lot_id, doc_index) NOT IN (SELECT (lot_id, doc_index) FROM given)",
+    "row_output": f"""WITH {OUTPUTS} SELECT lot_id, row_number AS source_row, 'non' AS manual, status, '' AS validation_error, CASE WHEN done THEN file_name ELSE '' END AS pdf_name,
+  CASE WHEN done THEN '' ELSE file_name END AS suggested_pdf_name, file_name AS detected_pdf_name, start_page, end_page, page_count, {", ".join(_KEYS)},
+  CASE WHEN exact THEN 'exact' ELSE 'fuzzy' END AS match_type, percent AS global_score, {_OUI("oe")} AS commande_exact, {_OUI("ce")} AS client_number_exact, cp AS client_percent, dp AS distributeur_percent,
+  CASE WHEN done THEN array_to_string(verify, '; ') WHEN status = 'Ambigu' THEN why ELSE '' END AS verify_fields, '' AS review_note, CASE WHEN done THEN '' ELSE why END AS diagnostic_reason FROM rl""",
+    "document_output": f"""WITH {OUTPUTS} SELECT lot_id, file_name AS pdf_name, CASE WHEN done AND len(verify) = 0 THEN 'Affecté' WHEN done THEN 'À vérifier' WHEN reason IS NOT NULL THEN 'Ambigu' ELSE 'Non affecté' END AS status,
+  start_page, end_page, page_count, row_number AS best_source_row, percent AS global_score, {_OUI("oe")} AS commande_exact, {_OUI("ce")} AS client_number_exact, cp AS client_percent, dp AS distributeur_percent,
+  {", ".join(f"coalesce({c}, '') AS best_{c}" for c in _KEYS)},
+  CASE WHEN done AND len(verify) = 0 THEN 'Affecté automatiquement' WHEN done THEN 'Affecté automatiquement avec contrôle requis'
+    ELSE coalesce(reason, CASE WHEN row_number IS NULL THEN 'Aucune ligne candidate n''a été trouvée pour ce PDF' ELSE 'Aucune ligne CSV n''a été affectée à ce PDF' END) END AS reason FROM dl""",
+    "recon_summary": f"""WITH {OUTPUTS}, r AS (SELECT lot_id, count(*) AS n, count(*) FILTER (WHERE status IN ('OK', 'À vérifier')) AS a, count(*) FILTER (WHERE status = 'À vérifier') AS c,
+  count(*) FILTER (WHERE status = 'Ambigu') AS u, count(*) FILTER (WHERE status = 'Sans PDF') AS m FROM rl GROUP BY lot_id)
+SELECT lot_id, coalesce(n, 0) AS csv_row_count, coalesce(a, 0) AS auto_assigned_count, coalesce(c, 0) AS needs_verification_count, coalesce(u, 0) AS ambiguous_count, coalesce(m, 0) AS missing_pdf_count,
+  (SELECT count(*) FROM rd WHERE rd.lot_id = tot.lot_id) AS generated_pdf_count FROM tot LEFT JOIN r USING (lot_id)""",
+    "separate_orb": f"""WITH {FEATURES}, t AS (SELECT lot_id, count(*) AS total FROM s GROUP BY lot_id),
+m AS (SELECT *, row_number() OVER w AS i, lead(page_number) OVER w AS nxt FROM s WHERE matched WINDOW w AS (PARTITION BY lot_id ORDER BY page_number))
+SELECT lot_id, i::INT AS doc_index, page_number AS start_page, coalesce(nxt - 1, total) AS end_page, coalesce(nxt - 1, total) - page_number + 1 AS page_count FROM m JOIN t USING (lot_id)""",
+    "separate_orb_pages": f"WITH {FEATURES} SELECT lot_id, page_number, round(score, 6) AS score, matched FROM s",
+    "separate_hybrid": f"""WITH {FEATURES}, g AS (SELECT *, greatest(0.30::DOUBLE, 0.55::DOUBLE - 0.15::DOUBLE) AS gv, greatest(0.33::DOUBLE, 0.55::DOUBLE - 0.10::DOUBLE) AS gc, greatest(0.18::DOUBLE, 0.55::DOUBLE - 0.25::DOUBLE) AS go FROM f),
+h AS (SELECT *, CASE WHEN v >= gv AND coalesce(success, false) THEN greatest(0, least(1, inlier * 0.75::DOUBLE + least(used / 40.0::DOUBLE, 1) * 0.25::DOUBLE)) ELSE 0 END AS o FROM g),
+i AS (SELECT *, v * 0.45::DOUBLE + o * 0.55::DOUBLE AS t FROM h)
+SELECT lot_id, page_number, round(o, 9) AS orb, round(t, 9) AS score, t >= 0.55::DOUBLE AND v >= gv AND c >= gc AND o >= go AS matched, 2 * (v < gv)::INT + (c < gc)::INT + (o < go)::INT AS n_warnings, v < gv AS skipped FROM i""",
     "recon_score": f"""WITH {SCORED} SELECT doc, line, round_even(raw::DECIMAL(38, 15), 3)::DOUBLE AS global_score, greatest(0, least(100, round_even(round(raw, 6), 0)::INT)) AS percent,
   (oe AND ce AND (c >= 0.9 OR d >= 0.9)) OR ((oe OR ce) AND c >= 0.7 AND d >= 0.8) AS is_exact,
   array_to_string(list_filter([CASE WHEN NOT oe THEN 'Commande' END, CASE WHEN NOT ce THEN 'N° Client' END, CASE WHEN c < 0.9 THEN 'Client (' || round_even(c * 100, 0)::INT || ')' END,
     CASE WHEN d < 0.7 THEN 'Distributeur (' || round_even(d * 100, 0)::INT || ')' END], lambda v: v IS NOT NULL), '; ') AS verify FROM g""",
     "strict_score": f"""WITH {SCORED} SELECT doc, line, round(oe::INT * 0.35::DOUBLE + ce::INT * 0.25::DOUBLE + d * 0.2::DOUBLE + c * 0.2::DOUBLE, 6) AS score, oe AND ce AND d > 0.9 AND c > 0.9 AS qualifies
 FROM g WHERE oe OR ce OR d > 0.9 OR c > 0.9""",
-    "recon_rank_tie": f"""WITH {SCORED}, x AS (SELECT doc, line, round(raw, 6) AS score, oe, ce FROM g),
-r AS (SELECT doc, line, score, row_number() OVER w AS place, lead(score) OVER w AS nxt FROM x WINDOW w AS (PARTITION BY doc ORDER BY oe DESC, ce DESC, score DESC, line))
-SELECT doc, line, score, coalesce(score = nxt, false) AS tie FROM r WHERE place = 1""",
     "mutual_best": """WITH p AS (SELECT l_suppkey, l_partkey, count(*) AS score FROM lineitem GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY score DESC, l_suppkey, l_partkey) AS a, row_number() OVER (PARTITION BY l_partkey ORDER BY score DESC, l_suppkey, l_partkey) AS b FROM p)
 SELECT l_suppkey, l_partkey, score FROM r WHERE a = 1 AND b = 1""",
-    "recon_summary": """SELECT o_orderpriority, count(*) AS n_rows, count(*) FILTER (WHERE o_orderstatus = 'O') AS n_open, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_final,
-  count(*) FILTER (WHERE o_orderstatus IN ('O', 'P')) AS n_active FROM orders GROUP BY o_orderpriority""",
-    "lot_summary": f"""WITH {PAGES}, g AS (SELECT lot_id, count(*) AS n_pages, count(*) FILTER (WHERE role = 'user') AS n_docs, bool_or(role = 'system') AS blocked FROM p GROUP BY lot_id),
-o AS (SELECT o_custkey AS lot_id, count(*) AS n_rows FROM orders GROUP BY o_custkey)
-SELECT g.*, coalesce(n_rows, 0) AS n_rows, n_docs <> coalesce(n_rows, 0) AS mismatch FROM g LEFT JOIN o USING (lot_id)""",
     "zone_words": f"WITH {WORDS} SELECT doc_id, zone_name, id, round(overlap, 6) AS overlap, centred, round(hit, 6) AS hit FROM h",
     "zone_text": f"""WITH {WORDS} SELECT doc_id, zone_name, value, round(coalesce(conf, 0), 6) AS confidence, CASE WHEN raw IS NULL THEN 'No OCR words intersect zone'
   WHEN value = '' THEN 'OCR words matched but value is empty' WHEN conf < 0.5 THEN 'Low OCR confidence' ELSE '' END AS warning, n::INT AS n_words FROM f1""",

@@ -2,7 +2,9 @@
 
 Roles: conversations are lots of pages (turn + 1 is the page, a user turn starts a document), documents and benchmark
 items are page texts and manifest texts, orders and customers keyed rows, lineitem boxes and scores, events pages of
-a long scan, embeddings descriptors. Every query reads its whole tables.
+a long scan, embeddings descriptors. In the `lot` queries each order is a lot whose lines are its pages and manifest
+rows, with signs of a match made from their numbers, so that SQL can follow linkage, assignment and outputs whole.
+Every query reads its whole tables.
 """
 
 from __future__ import annotations
@@ -13,12 +15,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotloom.functions import boxes, scores, text
-from lotloom.operators import assignment, descriptors, linkage, report, segments, zones
+from lotloom.operators import assignment, descriptors, linkage, reconciliation, report, segments, zones
 from lotloom.plans.oracles import ORACLES
 from lotloom.sources import files
 from lotloom.streaming.pages import classified
 
-KEY_LENGTH = 40
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,9 +48,9 @@ def order_variants(spark, sf_dir):
 
 
 def keyword_match(spark, sf_dir):
-    norm = text.normalized(F.col("text"))
+    norm = F.col("norm")
     found = text.found_keywords(norm)
-    return _t(spark, sf_dir, "documents").select(
+    return _t(spark, sf_dir, "documents").select("doc_id", text.normalized(F.col("text")).alias("norm")).select(
         "doc_id", F.size(found).alias("n_found"), F.array_join(text.missing_keywords(found), "|").alias("missing"), text.is_first_page(norm, 1).alias("is_start")
     )
 
@@ -92,38 +93,74 @@ def leading_pages_check(spark, sf_dir):
     return segments.start_issues(_event_pages(spark, sf_dir), F.col("event_type") == "signup")
 
 
-def _links(spark, sf_dir) -> DataFrame:
+def exact_link(spark, sf_dir):
+    """Documents that hold a whole benchmark item."""
     docs = _t(spark, sf_dir, "documents").select("doc_id", text.compact(F.col("text")).alias("page"))
     keys = _t(spark, sf_dir, "benchmark").select("item_id", text.compact(F.col("text")).alias("key"))
-    return linkage.contained_links(docs, keys, "doc_id", "page", "item_id", "key", KEY_LENGTH)
+    return linkage.contained_links(docs, keys, "doc_id", "page", "item_id", "key")
 
 
-def exact_link(spark, sf_dir):
-    return _links(spark, sf_dir)
+def number_link(spark, sf_dir):
+    """Documents that hold a variant of an order's number (keys of four characters)."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", text.compact(F.col("text")).alias("page"))
+    key = F.lpad((F.col("o_orderkey") % 5000).cast("string"), 4, "0")
+    keys = _t(spark, sf_dir, "orders").select(key.alias("order")).distinct().select("order", F.explode(text.order_variants(F.col("order"))).alias("key"))
+    return linkage.contained_links(docs, keys, "doc_id", "page", "order", "key").distinct()
+
+
+def _lot_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Pages and manifest rows: each order is a lot, its lines are pages, and those of a larger quantity rows."""
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")).cast("long")
+    lines = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("lot_id"), place.alias("n"), "l_partkey", "l_suppkey", "l_quantity")
+    pages = lines.select("lot_id", F.col("n").alias("page_number"), (F.col("l_partkey") % 4 > 0).alias("is_new_document"), F.when(F.col("l_suppkey") % 10 > 0, F.lit("x")).alias("compact"))
+    key = lambda k: (F.col("l_suppkey") % k).cast("string")
+    rows = lines.where("l_quantity > 10").select(
+        "lot_id", F.col("n").alias("row_number"), F.concat(F.lit("N "), key(3)).alias("commande"), key(2).alias("client_number"), F.concat(F.lit("Été "), key(2)).alias("distributeur"),
+        F.lit("c").alias("client"), F.lit(None).cast("string").alias("cote"), F.lit("1").alias("caisse"),
+    )
+    return pages, rows
+
+
+def _lot_pairs(documents: DataFrame, rows: DataFrame) -> DataFrame:
+    """documents with the rows of their lot and the four signs, from numbers instead of texts."""
+    k = F.col("doc_index") * 31 + F.col("row_number") * 17 + F.col("lot_id")
+    return documents.join(rows, "lot_id").withColumns(
+        {"order_exact": k % 4 == 0, "client_exact": k % 3 == 0, "client_score": k % 5 / 4, "distributor_score": k % 7 / 5}
+    ).withColumns({"client_score": F.least("client_score", F.lit(1.0)), "distributor_score": F.least("distributor_score", F.lit(1.0))})
+
+
+def _strict(spark, sf_dir) -> dict[str, DataFrame]:
+    pages, rows = _lot_tables(spark, sf_dir)
+    documents = segments.with_first_page(segments.ranges(pages, F.col("is_new_document")), pages.select("lot_id", "page_number", F.col("compact").alias("first_page_compact")))
+    candidates = linkage.strict_candidates(_lot_pairs(documents.where("first_page_compact IS NOT NULL"), rows))
+    claims = linkage.strict_assignments(documents, candidates)
+    issues = reconciliation.validation_issues(pages, F.col("is_new_document"), documents, rows, claims)
+    return {"pages": pages, "rows": rows, "documents": documents, "candidates": candidates, "claims": claims, "issues": issues}
 
 
 def strict_rank(spark, sf_dir):
-    of_doc = Window.partitionBy("doc_id")
-    return _links(spark, sf_dir).select(
-        "doc_id", "item_id", F.row_number().over(of_doc.orderBy("item_id")).cast("long").alias("place"), F.count(F.lit(1)).over(of_doc).alias("n_accepted")
-    )
+    return _strict(spark, sf_dir)["candidates"].select("lot_id", "doc_index", "row_number", F.round("score", 6).alias("score"), "qualifies", "n_matched", F.col("rank").cast("long").alias("rank"), "n_accepted")
 
 
 def duplicate_claims(spark, sf_dir):
-    """Documents with one accepted item, and whether another document claims it too."""
-    one = _links(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("item_id").alias("item_id")).where("n = 1")
-    claims = F.count(F.lit(1)).over(Window.partitionBy("item_id"))
-    return one.select("doc_id", "item_id", claims.alias("n_claims"))
+    return _strict(spark, sf_dir)["claims"].select("lot_id", "doc_index", "n_accepted", "claimed_row", "n_claims", "assigned_row", "blocked_reason")
+
+
+def strict_issues(spark, sf_dir):
+    return _strict(spark, sf_dir)["issues"]
+
+
+def lot_summary(spark, sf_dir):
+    s = _strict(spark, sf_dir)
+    return reconciliation.lot_summary(s["pages"], s["rows"], s["documents"], s["claims"], s["issues"])
 
 
 def duplicate_rows(spark, sf_dir):
-    """Documents whose compact texts are alike."""
-    key = F.sha2(text.compact(F.col("text")), 256)
-    return _t(spark, sf_dir, "documents").select("doc_id", key.alias("key")).withColumn("n_alike", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n_alike > 1").select("doc_id", "n_alike")
+    return linkage.duplicate_rows(_lot_tables(spark, sf_dir)[1]).select("lot_id", "row_number", "is_duplicate")
 
 
 def fuzzy_link(spark, sf_dir):
-    """Nations in supplier names' country part, by best-window similarity: all nations with all regions."""
+    """Region names in nation names, by best-window similarity: all nations with all regions."""
     nations = _t(spark, sf_dir, "nation").select("n_nationkey", text.compact(F.col("n_name")).alias("page"))
     from lotloom.functions.similarity import window_similarity
 
@@ -158,50 +195,64 @@ def strict_score(spark, sf_dir):
     )
 
 
-def recon_rank_tie(spark, sf_dir):
-    """Best line of each order and whether the second has the same score."""
-    raw = F.round(scores.global_score(*[F.col(c) for c in ("order_exact", "client_exact", "client_score", "distributor_score")]), 6)
-    s = _scored(spark, sf_dir).withColumn("score", raw)
-    w = Window.partitionBy("doc").orderBy(F.col("order_exact").desc(), F.col("client_exact").desc(), F.col("score").desc(), "line")
-    ranked = s.select("doc", "line", "score", F.row_number().over(w).alias("place"), F.lead("score").over(w).alias("next"))
-    return ranked.where("place = 1").select("doc", "line", "score", F.coalesce(F.col("score") == F.col("next"), F.lit(False)).alias("tie"))
-
-
 def mutual_best(spark, sf_dir):
     """Suppliers and parts that are each other's best by number of lines."""
     pairs = _t(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).alias("score"))
     return assignment.best_mutual(pairs, "l_suppkey", "l_partkey", [F.col("score").desc(), F.col("l_suppkey"), F.col("l_partkey")])
 
 
-def _assigned(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents, rows and verdicts: each order is a lot of as many documents and rows as it has lines."""
-    lines = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("lot_id"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")).cast("long").alias("n"), "l_partkey", "l_suppkey")
-    docs = lines.select("lot_id", F.col("n").alias("doc_index"), F.col("n").alias("start_page"), "l_partkey")
-    rows = lines.select("lot_id", F.col("n").alias("row_number"), "l_suppkey", (F.col("l_suppkey") % 7 == 0).alias("is_duplicate"))
-    k = F.col("l_partkey") * 31 + F.col("l_suppkey") * 17
-    full = docs.join(rows, "lot_id").select(
-        "lot_id", "doc_index", "row_number", "start_page", "is_duplicate", (k % 4 == 0).alias("order_exact"), (k % 6 == 0).alias("client_exact"),
-        (k % 11 / 10).alias("client_score"), (k % 8 / 7).alias("distributor_score"),
+def _reconciled(spark, sf_dir) -> dict[str, DataFrame]:
+    from lotloom.plans.lots import kept
+
+    pages, rows = _lot_tables(spark, sf_dir)
+    documents = segments.ranges_with_leading(pages, F.col("is_new_document")).withColumn("file_name", F.concat(F.col("doc_index").cast("string"), F.lit(".pdf")))
+    candidates = kept(linkage.recon_candidates(_lot_pairs(documents, linkage.duplicate_rows(rows))))
+    return {"documents": documents, "rows": rows, "candidates": candidates, "verdicts": kept(assignment.assign(candidates))}
+
+
+def recon_rank(spark, sf_dir):
+    """All candidates with scores and both ranks, and whether the second of a document has the first one's score."""
+    c = _reconciled(spark, sf_dir)["candidates"]
+    following = F.lead("global_score").over(Window.partitionBy("lot_id", "doc_index").orderBy("rank_for_doc"))
+    return c.select(
+        "lot_id", "doc_index", "row_number", "global_score", "global_percent", "is_exact", "client_percent", "distributor_percent", F.array_join("verify_fields", "; ").alias("verify"),
+        F.col("rank_for_doc").cast("long").alias("rank_for_doc"), F.col("rank_for_row").cast("long").alias("rank_for_row"), F.coalesce(F.col("global_score") == following, F.lit(False)).alias("tie"),
     )
-    return docs, rows, assignment.assign(linkage.recon_candidates(full))
 
 
 def greedy_assign(spark, sf_dir):
-    return _assigned(spark, sf_dir)[2]
+    return _reconciled(spark, sf_dir)["verdicts"]
 
 
 def unassigned_rows(spark, sf_dir):
-    _, rows, verdicts = _assigned(spark, sf_dir)
-    return rows.join(verdicts.where("side = 'row' AND partner IS NOT NULL").select("lot_id", F.col("id").alias("row_number")), ["lot_id", "row_number"], "left_anti").select("lot_id", "row_number")
+    r = _reconciled(spark, sf_dir)
+    given = r["verdicts"].where("side = 'row' AND partner IS NOT NULL").select("lot_id", F.col("id").alias("row_number"))
+    return r["rows"].join(given, ["lot_id", "row_number"], "left_anti").select("lot_id", "row_number")
 
 
 def unassigned_docs(spark, sf_dir):
-    docs, _, verdicts = _assigned(spark, sf_dir)
-    return docs.join(verdicts.where("side = 'doc' AND partner IS NOT NULL").select("lot_id", F.col("id").alias("doc_index")), ["lot_id", "doc_index"], "left_anti").select("lot_id", "doc_index")
+    r = _reconciled(spark, sf_dir)
+    given = r["verdicts"].where("side = 'doc' AND partner IS NOT NULL").select("lot_id", F.col("id").alias("doc_index"))
+    return r["documents"].join(given, ["lot_id", "doc_index"], "left_anti").select("lot_id", F.col("doc_index").cast("long").alias("doc_index"))
+
+
+def row_output(spark, sf_dir):
+    r = _reconciled(spark, sf_dir)
+    return reconciliation.row_output(r["rows"], r["candidates"], r["verdicts"])
+
+
+def document_output(spark, sf_dir):
+    r = _reconciled(spark, sf_dir)
+    return reconciliation.document_output(r["documents"], r["candidates"], r["verdicts"])
+
+
+def recon_summary(spark, sf_dir):
+    r = _reconciled(spark, sf_dir)
+    return reconciliation.summary(reconciliation.row_output(r["rows"], r["candidates"], r["verdicts"]), r["documents"])
 
 
 def _lots(spark, sf_dir) -> dict[str, DataFrame]:
-    """Reconciliation of conversations: a lot's rows are the customers whose number equals its own, and five more."""
+    """Reconciliation of conversations. Manifest names are cut from user texts, so that some are found whole and some nearly."""
     from lotloom.plans.lots import reconcile_lots
 
     pages = _pages(spark, sf_dir).withColumn("ocr_compact", text.compact(F.coalesce("ocr_raw", F.lit(""))))
@@ -213,14 +264,6 @@ def _lots(spark, sf_dir) -> dict[str, DataFrame]:
     return reconcile_lots(pages, rows, F.col("role") == "user")
 
 
-def row_output(spark, sf_dir):
-    return _lots(spark, sf_dir)["rows"]
-
-
-def document_output(spark, sf_dir):
-    return _lots(spark, sf_dir)["document_lines"]
-
-
 def reconciliation_summary(spark, sf_dir):
     return _lots(spark, sf_dir)["summary"]
 
@@ -237,20 +280,6 @@ def strict_analysis(spark, sf_dir):
     return analyze_lots(pages.drop("role"), rows, Config(min_keywords=1))["issues"]
 
 
-def recon_summary(spark, sf_dir):
-    s = F.col("o_orderstatus")
-    return _t(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_if(s == "O").alias("n_open"), F.count_if(s == "F").alias("n_final"), F.count_if(s.isin("O", "P")).alias("n_active")
-    )
-
-
-def lot_summary(spark, sf_dir):
-    pages = _pages(spark, sf_dir).groupBy("lot_id").agg(F.count(F.lit(1)).alias("n_pages"), F.count_if(F.col("role") == "user").alias("n_docs"), F.bool_or(F.col("role") == "system").alias("blocked"))
-    rows = _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("lot_id")).agg(F.count(F.lit(1)).alias("n_rows"))
-    met = pages.join(rows, "lot_id", "left").na.fill(0, ["n_rows"])
-    return met.withColumn("mismatch", F.col("n_docs") != F.col("n_rows"))
-
-
 def _words(spark, sf_dir) -> DataFrame:
     line = _t(spark, sf_dir, "lineitem")
     q, p = F.col("l_quantity").cast("long"), F.col("l_partkey")
@@ -305,14 +334,13 @@ def median_height(spark, sf_dir):
 
 
 def _descriptors(spark, sf_dir) -> DataFrame:
-    return _t(spark, sf_dir, "embeddings").select("vec_id", "label", F.array(descriptors.sign_bits(F.col("embedding"), 62)).alias("descriptor"))
+    return _t(spark, sf_dir, "embeddings").select("vec_id", "label", descriptors.sign_bits(F.col("embedding"), 64).alias("descriptor"))
 
 
 def hamming_knn(spark, sf_dir):
-    """Two nearest of every vector among those of the same label with an odd id."""
+    """Two nearest of every vector among the others of its label, over all components."""
     d = _descriptors(spark, sf_dir)
-    even = d.where("vec_id % 2 = 0").withColumnRenamed("vec_id", "query_id")
-    return descriptors.nearest_two(even, d.where("vec_id % 2 = 1").withColumnRenamed("vec_id", "train_id"), "label")
+    return descriptors.nearest_two(d.withColumnRenamed("vec_id", "query_id"), d.withColumnRenamed("vec_id", "train_id"), "label")
 
 
 def good_matches(spark, sf_dir):
@@ -420,7 +448,35 @@ def progress_thinning(spark, sf_dir):
 
 
 def json_config(spark, sf_dir):
-    return _t(spark, sf_dir, "events").select("event_id", F.from_json("props", "k string")["k"].try_cast("double").alias("threshold"))
+    return _t(spark, sf_dir, "events").select("event_id", files.workspace_config(F.replace("props", F.lit('"k"'), F.lit('"paperThreshold"')))["paper_threshold"].alias("threshold"))
+
+
+def separate_orb(spark, sf_dir):
+    """Lines as pages with alignment results: scores, matches and document ranges of the geometric method."""
+    from lotloom.plans.lots import Config, separate
+
+    return separate(_features(spark, sf_dir), Config(method="orb", threshold=0.4))["documents"]
+
+
+def _features(spark, sf_dir) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")).cast("long")
+    return _t(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("lot_id"), place.alias("page_number"), F.when(F.col("l_linenumber") % 5 > 0, F.col("l_partkey") % 3 > 0).alias("success"), (F.col("l_suppkey") % 100 / 100.0).alias("inlier_ratio"),
+        (F.col("l_partkey") % 60).alias("matches_used"), (F.col("l_quantity") / 50.0).alias("visual"), (F.col("l_suppkey") * 7 % 100 / 100.0).alias("critical"),
+    )
+
+
+def separate_orb_pages(spark, sf_dir):
+    from lotloom.plans.lots import Config, separate
+
+    return separate(_features(spark, sf_dir), Config(method="orb", threshold=0.4))["pages"].select("lot_id", "page_number", F.round("score", 6).alias("score"), "matched")
+
+
+def separate_hybrid(spark, sf_dir):
+    from lotloom.plans.lots import Config, separate
+
+    out = separate(_features(spark, sf_dir), Config(method="visual-structural"))["pages"]
+    return out.select("lot_id", "page_number", F.round("orb", 9).alias("orb"), F.round("score", 9).alias("score"), "matched", F.size("warnings").alias("n_warnings"), F.coalesce(F.get("warnings", F.lit(0)), F.lit("")).startswith("Skipped").alias("skipped"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -430,11 +486,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OWN = (
     text_normalize, text_compact_digits, order_variants, keyword_match, start_page_filter, segment_ranges, segment_with_leading, ranges_from_starts,
-    first_page_lookup, long_gaps, leading_pages_check, exact_link, strict_rank, duplicate_claims, duplicate_rows, fuzzy_link, recon_score, strict_score,
-    recon_rank_tie, mutual_best, greedy_assign, unassigned_rows, unassigned_docs, row_output, document_output, reconciliation_summary, strict_analysis,
-    recon_summary, lot_summary, zone_words, zone_text, zone_missing, page_lines, zone_normalize, box_normalize, median_height, hamming_knn, good_matches,
-    weighted_scores, region_score, hybrid_gate, topk_stable, ignored_regions, view_stability, histogram, availability_check, orphan_report, orphan_lines,
-    effective_status, template_upsert, template_delete, progress_thinning, json_config,
+    first_page_lookup, long_gaps, leading_pages_check, exact_link, number_link, strict_rank, duplicate_claims, strict_issues, lot_summary, duplicate_rows,
+    fuzzy_link, recon_score, strict_score, recon_rank, mutual_best, greedy_assign, unassigned_rows, unassigned_docs, row_output, document_output,
+    recon_summary, reconciliation_summary, strict_analysis, separate_orb, separate_orb_pages, separate_hybrid, zone_words, zone_text, zone_missing,
+    page_lines, zone_normalize, box_normalize, median_height, hamming_knn, good_matches, weighted_scores, region_score, hybrid_gate, topk_stable,
+    ignored_regions, view_stability, histogram, availability_check, orphan_report, orphan_lines, effective_status, template_upsert, template_delete,
+    progress_thinning, json_config,
 )
 
 

@@ -41,10 +41,16 @@ def decoded(content: Column) -> Column:
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     """Manifest rows of all files at path: lot_id (the file's name), row_number from 2, trimmed columns.
 
-    Spark's CSV reader parses fields; each file is one task, since row numbers count its non-blank records. A file
-    that lacks a required column, or has no row, gives an error.
+    Python's csv parses each file in one task, since row numbers count its non-blank records. A file that is empty,
+    lacks a required column, or has no row, gives an error.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", decoded(F.col("content")).alias("body")).where("body <> ''")
+    listed = spark.read.format("binaryFile").load(path)
+    # Spark leaves out files of no bytes
+    full = {r.path for r in listed.select("path").toLocalIterator()}
+    if len(full) < len(listed.inputFiles()):
+        names = {f.rsplit("/", 1)[-1] for f in listed.inputFiles()} - {f.rsplit("/", 1)[-1] for f in full}
+        raise ValueError(f"empty manifests: {', '.join(sorted(names))}")
+    files = listed.select("path", decoded(F.col("content")).alias("body"))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import csv
@@ -52,6 +58,8 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
 
         for batch in batches:
             for name, body in zip(batch.path, batch.body, strict=True):
+                if not body.strip():
+                    raise ValueError(f"{name} is empty")
                 reader = csv.DictReader(io.StringIO(body, newline=""), delimiter=";")
                 lacking = [h for h in MANIFEST if h not in (reader.fieldnames or []) and h not in OPTIONAL]
                 if lacking:
@@ -92,29 +100,39 @@ IMAGES = {"png": b"\x89PNG", "jpeg": b"\xff\xd8\xff"}
 PDF = {"pdf": b"%PDF"}
 
 
-def pages_of(files: DataFrame, count: Callable[[bytes], int], render: Callable[[bytes, int, int], bytes], dpi: int = 150) -> DataFrame:
+def pages_of(files: DataFrame, count: Callable[[bytes], int], render: Callable[[bytes, int, int], bytes], dpi: int = 150, at_once: int = 32) -> DataFrame:
     """A row for each page of each file: path, page_number, image, problem.
 
     `count` and `render` come from whichever PDF library is there; the engine has none of its own. Files are counted
-    first and pages dealt out over tasks, so that one long file is rendered by many.
+    first and runs of at_once pages dealt out over tasks, so that many tasks render a long file and its bytes travel
+    once a run. A file that can't be counted is one row with page 0 and its problem.
     """
 
-    @F.pandas_udf("int")
-    def counted(contents: pd.Series) -> pd.Series:
-        return contents.map(count)
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                try:
+                    n, problem = int(count(r.content)), None
+                except Exception as e:  # noqa: BLE001  a file that fails is a row with its problem
+                    n, problem = 0, str(e)
+                yield pd.DataFrame({"path": [r.path], "pages": [n], "problem": [problem]})
 
     def rendered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
-                try:
-                    image, problem = render(r.content, r.page_number, dpi), None
-                except Exception as e:  # noqa: BLE001  a page that fails is a row with its problem
-                    image, problem = None, str(e)
-                yield pd.DataFrame({"path": [r.path], "page_number": [r.page_number], "image": [image], "problem": [problem]})
-
-    pages = files.where("problem IS NULL").select("path", F.explode(F.sequence(F.lit(1), counted("content"))).alias("page_number"))
-    dealt = pages.repartition("path", "page_number").join(files.select("path", "content"), "path")
-    return dealt.mapInPandas(rendered, "path string, page_number int, image binary, problem string")
+                for page in range(r.first, r.last + 1):
+                    try:
+                        image, problem = render(r.content, page, dpi), None
+                    except Exception as e:  # noqa: BLE001  a page that fails is a row with its problem
+                        image, problem = None, str(e)
+                    yield pd.DataFrame({"path": [r.path], "page_number": [page], "image": [image], "problem": [problem]})
+
+    fine = files.where("problem IS NULL").select("path", "content")
+    known = fine.mapInPandas(counted, "path string, pages int, problem string")
+    runs = known.where("pages > 0").select("path", "pages", F.explode(F.expr(f"sequence(1, pages, {at_once})")).alias("first"))
+    runs = runs.withColumn("last", F.least(F.col("first") + at_once - 1, "pages")).repartition("path", "first")
+    pages = runs.join(fine, "path").select("path", "content", "first", "last").mapInPandas(rendered, "path string, page_number int, image binary, problem string")
+    return pages.unionByName(known.where("problem IS NOT NULL").select("path", F.lit(0).alias("page_number"), F.lit(None).cast("binary").alias("image"), "problem"))
 
 
 # --- lot folders ---

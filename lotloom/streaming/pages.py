@@ -50,17 +50,24 @@ def _events(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
                 out.append((key[0], "document", doc, start, page - 1, None))
             # pages before the first start are document 0
             doc, start = doc + 1 if is_start else 0, page
+            if is_start:
+                out.append((key[0], "provisional_document", doc, start, None, page))
         last = page
         if is_last:
             out.append((key[0], "document", doc, start, page, None))
             out.append((key[0], "complete", None, None, page, None))
-    state.update((int(doc), int(start), int(last)))
+            doc, start, last = 0, 0, 0
+    if start:
+        state.update((int(doc), int(start), int(last)))
+    elif state.exists:
+        state.remove()  # the lot is complete
     frame = pd.DataFrame(out, columns=["lot_id", "type", "doc_index", "start_page", "end_page", "page_number"])
     yield frame.astype({c: "Int64" for c in ("doc_index", "start_page", "end_page", "page_number")})
 
 
 def document_events(pages: DataFrame, is_last: Column) -> DataFrame:
-    """Events of a stream of classified pages: page, document once its end is known, complete.
+    """Events of a stream of classified pages: page, provisional_document where one starts, document once its end is
+    known, complete (T1, T2, T6). State goes with a lot's last page; a lot that comes again starts anew.
 
     is_last marks a lot's last page, which closes its open document.
     """
