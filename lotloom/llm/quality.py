@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotloom.llm.common import OWN, quoted, small_batches, text_or_empty, written
+from lotloom.llm.common import OWN, give_back, quoted, small_batches, text_or_empty, written
 from lotloom.llm.words import blocks, mix, word_hashes
 
 #: Hashed features; labelled rows that a fit uses at most; smoothing; cost of the hinge loss.
@@ -54,11 +54,12 @@ def features(texts: list[bytes]) -> list[np.ndarray]:
     u = np.uint64
     shape = mix(kinds | closing << u(5) | same.astype(np.uint64) << u(13) | size << u(14))
     with np.errstate(over="ignore"):
-        pair = h.copy()
+        # a text's first words have no n-gram before them, wherever in the batch the text stands
+        pair = np.zeros_like(h)
         pair[1:] = np.where(in_text[1:], h[1:] + h[:-1] * _SALTS[1], 0)
-        two = shape.copy()
+        two = np.zeros_like(h)
         two[1:] = np.where(in_text[1:], shape[1:] + shape[:-1] * _SALTS[1], 0)
-        three = two.copy()
+        three = np.zeros_like(h)
         three[2:] = np.where(in_text[2:] & in_text[1:-1], two[2:] + shape[:-2] * _SALTS[2], 0)
         grams = np.stack([mix(x + s) for x, s in zip((h, pair, shape, two, three), _SALTS, strict=True)])
     ids = (grams & u(FEATURES - 1)).astype(np.int64)
@@ -200,6 +201,7 @@ def train(
         times = np.array(table["times"].to_pylist(), np.int64)
         ids = [np.frombuffer(x.as_buffer(), np.int32) for x in table["ids"]]
         labels = np.array(table["label"].to_pylist(), np.int64)
+        give_back()
         model = fit_rows([x for x, t in zip(ids, times, strict=True) for _ in range(t)], np.repeat(labels, times), seed)
         return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
@@ -217,6 +219,7 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(model.score(texts.tolist()))
+        give_back()
 
     small_batches(docs.sparkSession)
     kept = [F.col(quoted(c)) for c in docs.columns if c.lower() != name.lower()]
