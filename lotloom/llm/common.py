@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,6 +99,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, "1000")
 
 
+def give_back() -> None:
+    """Python workers outlive their tasks: what a task has freed goes back to the system, as far as the platform can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

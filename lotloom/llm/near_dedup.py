@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotloom.llm.common import OWN, Table, quoted, rows_without, small_batches, text_or_empty, written
+from lotloom.llm.common import OWN, Table, give_back, quoted, rows_without, small_batches, text_or_empty, written
 from lotloom.llm.words import blocks, mix, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -150,6 +150,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                         "bands": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat)),
                     }
                 )
+        give_back()
 
     small_batches(docs.sparkSession)
     kind = docs.schema[ID].dataType.simpleString()
@@ -250,6 +251,7 @@ def _compared(rows: DataFrame, threshold: float) -> DataFrame:
                     tile, block = t, Block()
                 block.add(*row)
         yield found()
+        give_back()
 
     dealt = rows.select("tile", ROW, TEXT, "buckets", "root", "part").repartition("tile").sortWithinPartitions("tile", ROW)
     return dealt.mapInArrow(compare, "a long, b long").where("a != b").distinct()

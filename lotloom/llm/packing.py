@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotloom.llm.common import OWN, quoted, small_batches, text_or_empty
+from lotloom.llm.common import OWN, give_back, quoted, small_batches, text_or_empty
 
 #: Documents in a group on average; bytes of chunks and their ids that a worker remembers, OVERHEAD for each included.
 GROUP, REMEMBERED, OVERHEAD = 8192, 128 << 20, 160
@@ -202,6 +202,7 @@ def pack(
                 cols["ids"] = pa.array(out["ids"], pa.list_(pa.int32()))
             cols["doc_tokens"] = pa.array(out["tokens"], pa.int64())
             yield pa.RecordBatch.from_pydict(cols)
+        give_back()
 
     small_batches(df.sparkSession)
     pieces = docs.mapInArrow(cut, schema)
