@@ -367,12 +367,192 @@ def test_quality(spark, docs):
     assert quality.with_score(docs, quality.train(docs, labels.limit(0))).count() == 6
 
 
+def test_quality_against_plain_nb_svm():
+    """Weights and bias of the fit are those of naive Bayes ratios and dual coordinate descent in plain Python."""
+    rng = np.random.default_rng(8)
+    labels = (np.arange(80) % 2).astype(np.int64)
+    rows = [np.unique(np.concatenate((rng.integers(0, 40, 6), rng.integers(40 * y + 100, 40 * y + 140, 5)))) for y in labels]
+    model = quality.fit_rows(rows, labels, seed=3)
+    draw = np.random.default_rng(3)
+    kept = draw.random(80) < 0.2
+    fit = [i for i in range(80) if not kept[i]]
+    count = [{}, {}]
+    for i in fit:
+        for f in rows[i].tolist():
+            count[labels[i]][f] = count[labels[i]].get(f, 0) + 1
+    whole = [quality.FEATURES + sum(c.values()) for c in count]
+    ratio = {f: np.log((count[1].get(f, 0) + 1) / whole[1]) - np.log((count[0].get(f, 0) + 1) / whole[0]) for f in {*count[0], *count[1]}}
+    x = [{f: ratio[f] for f in r.tolist() if f in ratio} for r in rows]
+    x = [{f: v / max(1e-12, sum(u * u for u in r.values()) ** 0.5) for f, v in r.items()} for r in x]
+    w, bias, alpha = dict.fromkeys(ratio, 0.0), 0.0, dict.fromkeys(fit, 0.0)
+    for _ in range(quality.EPOCHS):
+        moved = 0.0
+        for at in draw.permutation(len(fit)):
+            i = fit[at]
+            y = 2 * labels[i] - 1
+            gradient = y * (sum(w[f] * v for f, v in x[i].items()) + bias) - 1
+            new = min(max(alpha[i] - gradient / (sum(v * v for v in x[i].values()) + 1), 0), quality.COST)
+            step, alpha[i] = (new - alpha[i]) * y, new
+            bias += step
+            for f, v in x[i].items():
+                w[f] += step * v
+            moved = max(moved, abs(step))
+        if moved < 1e-3:
+            break
+    mean = sum(map(abs, w.values())) / len(w)
+    want = {f: ((1 - quality.BETA) * mean + quality.BETA * v) * ratio[f] for f, v in w.items()}
+    assert abs(model.bias - bias) < 1e-6 and all(abs(float(model.weights[f]) - v) < 1e-4 for f, v in want.items())
+
+
+def test_quality_bounds(spark):
+    """The bounds on rows and numbers hold, repeated documents included, and reruns agree."""
+    df = spark.createDataFrame([(i % 30, f"w{i % 7} v{i % 3} x{i}") for i in range(90)], "doc_id long, text string").withColumn("score", F.lit("clash"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    for bounds in ({"max_rows": 12}, {"max_numbers": 200}, {}):
+        a, b = quality.train(df, labels, **bounds), quality.train(df.repartition(5), labels, **bounds)
+        assert (a.weights == b.weights).all() and a.bias == b.bias
+    out = quality.with_score(df, a)
+    assert out.columns == ["doc_id", "text", "score"] and out.schema["score"].dataType.simpleString() == "double" and quality.with_score(df.limit(0), a).count() == 0
+    assert quality.train(df.limit(0), labels).weights.any() == False  # noqa: E712
+
+
+def _luhn(d):
+    return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def test_pii_pseudonyms_are_valid_and_one_to_one(spark):
+    import datetime
+
+    days = [(datetime.date(1900, 1, 1) + datetime.timedelta(days=37 * i)).isoformat() for i in range(1900)]
+    cards = []
+    for i in range(1500):
+        body = f"4{i:014d}"
+        cards.append(next(body + c for c in "0123456789" if _luhn(body + c)))
+    ips = [f"{i % 256}.{i // 256}.7.9" for i in range(1500)]
+    ssns = [f"{i % 665 + 1:03d}-{i % 99 + 1:02d}-{i + 1:04d}" for i in range(1500)]
+    phones = [f"+1 ({200 + i % 700}) {200 + i // 2}-{i:04d}" for i in range(1500)]
+    for kind, values in (("date", days), ("card", cards), ("ip", ips), ("ssn", ssns), ("phone", phones)):
+        got = [r.text for r in _pseudonyms(spark, values)]
+        assert len(set(got)) == len(values) and [r for r, v in zip(got, values, strict=True) if r == v] == [r for r, v in zip(got, values, strict=True) if r == v][:3]
+        if kind == "date":
+            assert all("1900-01-01" <= datetime.date.fromisoformat(g).isoformat() <= "2099-12-31" for g in got)
+        if kind == "card":
+            assert all(len(g) == 16 and _luhn(g) for g in got)
+        if kind == "ip":
+            assert all(len(g.split(".")) == 4 and all(0 <= int(x) <= 255 for x in g.split(".")) for g in got)
+        if kind == "ssn":
+            assert all(g[3] == g[6] == "-" and 1 <= int(g[:3]) <= 899 and g[:3] != "666" and int(g[4:6]) and int(g[7:]) for g in got)
+        if kind == "phone":
+            assert all(len(g) == len(v) and g.startswith("+1 (") and g[4] in "23456789" for g, v in zip(got, values, strict=True))
+
+
+def test_pii_of_nothing_and_with_clashing_columns(spark, docs):
+    assert pii.pseudonymise(docs.limit(0), "k").count() == 0
+    df = spark.createDataFrame([(1, "born 1984-02-29", "x"), (2, "", "y"), (3, "word " * 20000 + "1984-02-29", "z")], "doc_id long, text string, n_date string")
+    out = pii.pseudonymise(df.withColumn("N_CARD", F.lit(1)), "k")
+    assert out.columns[:2] == ["doc_id", "text"] and sorted(out.columns[2:]) == sorted(f"n_{k}" for k in pii.KINDS)
+    assert {r.doc_id: r.n_date for r in out.collect()} == {1: 1, 2: 0, 3: 1}
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_near_dedup_recall_over_all_pairs(spark):
+    """All documents of the table against all: no pair at the threshold is in two classes, and no class is wider."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    ids = sorted(texts)
+    # all pairs that could reach the threshold, by the largest similarity that common shingles allow
+    sets = dict(zip(ids, near_dedup.shingle_counts([(texts[i] or "").encode() for i in ids]), strict=True))
+    holders = {}
+    for i in ids:
+        for v in sets[i][0].tolist():
+            holders.setdefault(v, []).append(i)
+    common = {}
+    for held in holders.values():
+        for n, j in enumerate(held):
+            for i in held[:n]:
+                common[i, j] = common.get((i, j), 0) + 1
+    links = [(i, j) for (i, j), n in common.items() if n >= 0.5 * min(len(sets[i][0]), len(sets[j][0])) and near_dedup.prob_jaccard(sets[i], sets[j]) >= 0.8 - 1e-9]
+    empty = [i for i in ids if not len(sets[i][0])]
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in links + [(empty[0], j) for j in empty[1:]]:
+        a, b = sorted((find(i), find(j)))
+        root[b] = a
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(docs).collect()}
+    found = sum(got[i] == got[j] for i, j in links)
+    print(f"near-dedup recall: {found} of {len(links)} links")
+    assert len(links) > 50 and found == len(links) and got == {i: find(i) for i in ids}
+
+
+def test_pipeline_against_plain_python(spark):
+    """run() stage by stage in plain Python: scores of the fitted model, equal texts, all pairs, quotas, ids."""
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    rows = sorted(docs.collect(), key=lambda r: r.doc_id)
+    scores = model.score([r.text for r in rows])
+    good = [r for r, s in zip(rows, scores, strict=True) if s >= 0.3]
+    assert 0 < len(good) < len(rows)
+    best = {}
+    for r in good:
+        t = r.text or ""
+        key = t.translate(dict.fromkeys(map(ord, " \t\n\x0b\x0c\r")))
+        best[key] = min(best.get(key, (1, 0, None)), (-len(t), r.doc_id, r), key=lambda x: x[:2])
+    single = sorted((b[2] for b in best.values()), key=lambda r: r.doc_id)
+    assert len(single) < len(good)
+    classes = _classes_by_brute_force([r.text for r in single])
+    apart = [r for i, r in enumerate(single) if classes[i] == i]
+    assert len(apart) < len(single)
+    docs_ = docs
+    want = [good, single, apart]
+    for (name, stage), kept in zip(corpus_pipeline.STAGES, want, strict=False):
+        docs_ = stage(spark, docs_, SF)
+        assert sorted(map(tuple, docs_.collect())) == sorted(map(tuple, kept)), name
+    times = {}
+    for r in mixing.mix(spark.createDataFrame(apart, docs.schema)).collect():
+        n = (2 * r.taken + r.size) // (2 * r.size) if r.size else 0
+        if n:
+            times[r.doc_id] = n
+    by_source = {}
+    for r in apart:
+        by_source.setdefault(r.source, [0, 0])
+        size = len((r.text or "").split())
+        by_source[r.source][0] += size
+        by_source[r.source][1] += size * times.get(r.doc_id, 0)
+    out = corpus_pipeline.run(spark, SF).collect()
+    tk = Tokenizer.from_file(str(P.path("word_bpe_49k.json")))
+    pieces, sequences = {}, {}
+    for r in out:
+        pieces.setdefault(r.doc_id, []).append(r)
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert set(pieces) == set(times)
+    text = {r.doc_id: r.text for r in apart}
+    for doc, got in pieces.items():
+        ids = [*tk.encode(text[doc] or "", add_special_tokens=False).ids, 1]
+        cut = [(s, min(2048, len(ids) - s), zlib.crc32(np.array(ids[s : s + 2048], "<u4").tobytes()), len(ids)) for s in range(0, len(ids), 2048)]
+        assert sorted((r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got) == sorted(cut * times[doc])
+    for parts in sequences.values():
+        parts.sort()
+        assert parts[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(parts, parts[1:])) and parts[-1][0] + parts[-1][1] <= 2048
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and out.select("doc_id").distinct().count() <= docs.count()
     for name, stage in corpus_pipeline.STAGES:
-        empty = stage(spark, docs.limit(0), "/root/testdata/sf0.001")
+        empty = stage(spark, docs.limit(0), SF)
         assert empty.count() == 0 and (name == "packing" or empty.columns == docs.columns)
