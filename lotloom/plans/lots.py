@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,11 +38,11 @@ class Config:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df, computed once: a checkpoint in the folder that spark.checkpoint.dir names, else persisted with its lineage."""
+    """df, computed once: a checkpoint in the folder that spark.checkpoint.dir names, else persisted on disk with its lineage."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        return df.persist()
+        return df.persist(StorageLevel.DISK_ONLY)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
