@@ -11,51 +11,51 @@ from lotloom.operators import assignment, linkage, segments
 OK, REVIEW, ASSIGNED, MANUAL = "OK", "À vérifier", "Affecté", "Manuel"
 
 
-def _shared(c: str = "c") -> dict[str, Column]:
-    col = lambda n: F.col(f"{c}.{n}")
-    yes = lambda n: F.when(F.col(c).isNotNull(), text.oui_non(col(n))).otherwise(F.lit(""))
-    return {
-        "global_score": col("global_percent"),
-        "commande_exact": yes("order_exact"),
-        "client_number_exact": yes("client_exact"),
-        "client_percent": col("client_percent"),
-        "distributeur_percent": col("distributor_percent"),
-    }
+#: What outputs need of a candidate besides its verdict.
+_KEPT = ["file_name", "end_page", "page_count", "order_exact", "client_exact", "client_score", "distributor_score", "client_percent", "distributor_percent"]
 
 
-def _match_type(c: str = "c") -> Column:
-    return F.when(F.col(c).isNull(), F.lit("none")).when(F.col(f"{c}.is_exact"), F.lit("exact")).otherwise(F.lit("fuzzy"))
+def settled(candidates: DataFrame) -> DataFrame:
+    """Candidates with their verdicts, as the outputs need them."""
+    return assignment.settled(candidates, *_KEPT, *linkage.ROW_KEY)
 
 
-_KEPT = [
-    "doc_index", "file_name", "start_page", "end_page", "page_count", "row_number", "global_percent", "is_exact", "order_exact",
-    "client_exact", "client_percent", "distributor_percent", "verify_fields", *linkage.ROW_KEY,
-]
-
+def _shared(found: Column) -> dict[str, Column]:
+    yes = lambda n: F.when(found, text.oui_non(F.col(n))).otherwise(F.lit(""))
+    return {
+        "global_score": F.col("global_percent"),
+        "commande_exact": yes("order_exact"),
+        "client_number_exact": yes("client_exact"),
+        "client_percent": F.col("client_percent"),
+        "distributeur_percent": F.col("distributor_percent"),
+    }
 
-def _chosen(candidates: DataFrame, verdicts: DataFrame, side: str, own: str, partner: str, rank: str) -> DataFrame:
-    """For each own key the assigned candidate, else the best one, as struct c, and whether it is assigned."""
-    v = verdicts.where(F.col("side") == side).select("lot_id", F.col("id").alias(own), "partner", "reason")
-    struct = F.struct(*[F.col(x) for x in _KEPT])
-    marked = candidates.join(v.select("lot_id", own, F.col("partner").alias("_partner")), ["lot_id", own], "left")
-    won = F.col("_partner").eqNullSafe(F.col(partner)) & F.col("_partner").isNotNull()
-    best = marked.where(won | ((F.col(rank) == 1) & F.col("_partner").isNull()))
-    return best.select("lot_id", own, struct.alias("c"), won.alias("assigned")).join(v.select("lot_id", own, "reason"), ["lot_id", own], "left")
 
+def _chosen(own: DataFrame, others: DataFrame, candidates: DataFrame, side: str, partner: str) -> DataFrame:
+    """For each of own its assigned candidate, else the best one, whether it is assigned, and the reason if ambiguous.
 
-def row_output(rows: DataFrame, candidates: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """A line for each manifest row."""
-    of_row = _chosen(candidates, verdicts, "row", "row_number", "doc_index", "rank_for_row")
-    met = rows.join(of_row, ["lot_id", "row_number"], "left").withColumn("assigned", F.coalesce("assigned", F.lit(False)))
-    done, verify = F.col("assigned"), F.col("c.verify_fields")
-    missing = F.when(F.col("c").isNull(), F.lit("Aucun PDF candidat disponible")).otherwise(F.lit("Aucun PDF n'a pu être affecté automatiquement"))
+    All of a lot meet, so only what is in a lot without others has no candidate: nothing is joined but lots.
+    """
+    got = F.col(f"{side}_partner")
+    best = candidates.where((got == F.col(partner)) | ((F.col(f"rank_for_{side}") == 1) & got.isNull()))
+    told = linkage.told(best).withColumns({"assigned": got.isNotNull(), "reason": F.col(f"{side}_reason"), "found": F.lit(True)})
+    alone = own.join(others.select("lot_id"), "lot_id", "left_anti").withColumns({"assigned": F.lit(False), "found": F.lit(False)})
+    return told.unionByName(alone, allowMissingColumns=True)
+
+
+def row_output(rows: DataFrame, documents: DataFrame, candidates: DataFrame) -> DataFrame:
+    """A line for each manifest row (J13). candidates: as of settled."""
+    met = _chosen(rows.select("lot_id", "row_number", *linkage.ROW_KEY), documents, candidates, "row", "doc_index")
+    done, verify, found = F.col("assigned"), F.col("verify_fields"), F.col("found")
+    missing = F.when(found, F.lit("Aucun PDF n'a pu être affecté automatiquement")).otherwise(F.lit("Aucun PDF candidat disponible"))
     why = F.coalesce("reason", missing)
     blank = F.lit("")
     status = (
         F.when(done & (F.size(verify) == 0), F.lit(OK)).when(done, F.lit(REVIEW))
         .when(F.col("reason").isNotNull(), F.lit(assignment.AMBIGUOUS)).otherwise(F.lit(assignment.MISSING))
     )
-    name = F.coalesce("c.file_name", blank)
+    name = F.coalesce("file_name", blank)
+    match_type = F.when(~found, F.lit("none")).when(F.col("is_exact"), F.lit("exact")).otherwise(F.lit("fuzzy"))
     return met.select(
         "lot_id",
         F.col("row_number").alias("source_row"),
@@ -65,34 +65,38 @@ def row_output(rows: DataFrame, candidates: DataFrame, verdicts: DataFrame) -> D
         F.when(done, name).otherwise(blank).alias("pdf_name"),
         F.when(done, blank).otherwise(name).alias("suggested_pdf_name"),
         name.alias("detected_pdf_name"),
-        *[F.col(f"c.{x}").alias(x) for x in ("start_page", "end_page", "page_count")],
+        "start_page", "end_page", "page_count",
         *linkage.ROW_KEY,
-        _match_type().alias("match_type"),
-        *[v.alias(k) for k, v in _shared().items()],
+        match_type.alias("match_type"),
+        *[v.alias(k) for k, v in _shared(found).items()],
         F.when(done, F.array_join(verify, "; ")).when(status == assignment.AMBIGUOUS, why).otherwise(blank).alias("verify_fields"),
         blank.alias("review_note"),
         F.when(done, blank).otherwise(why).alias("diagnostic_reason"),
-    )
+    )
 
 
-def document_output(documents: DataFrame, candidates: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """A line for each document."""
-    of_doc = _chosen(candidates, verdicts, "doc", "doc_index", "row_number", "rank_for_doc")
-    docs = documents.select("lot_id", "doc_index", F.col("file_name").alias("pdf_name"), "start_page", "end_page", "page_count")
-    met = docs.join(of_doc, ["lot_id", "doc_index"], "left").withColumn("assigned", F.coalesce("assigned", F.lit(False)))
-    done, clean = F.col("assigned"), F.size("c.verify_fields") == 0
-    none = F.when(F.col("c").isNull(), F.lit("Aucune ligne candidate n'a été trouvée pour ce PDF")).otherwise(F.lit("Aucune ligne CSV n'a été affectée à ce PDF"))
+def document_output(documents: DataFrame, rows: DataFrame, candidates: DataFrame) -> DataFrame:
+    """A line for each document (J14). candidates: as of settled."""
+    met = _chosen(documents.select("lot_id", "doc_index", "file_name", "start_page", "end_page", "page_count"), rows, candidates, "doc", "row_number")
+    done, clean, found = F.col("assigned"), F.size("verify_fields") == 0, F.col("found")
+    none = F.when(found, F.lit("Aucune ligne CSV n'a été affectée à ce PDF")).otherwise(F.lit("Aucune ligne candidate n'a été trouvée pour ce PDF"))
     status = F.when(done & clean, F.lit(ASSIGNED)).when(done, F.lit(REVIEW)).when(F.col("reason").isNotNull(), F.lit(assignment.AMBIGUOUS)).otherwise(F.lit(assignment.UNMATCHED))
-    told = F.when(done & clean, F.lit("Affecté automatiquement")).when(done, F.lit("Affecté automatiquement avec contrôle requis")).otherwise(F.coalesce("reason", none))
+    said = F.when(done & clean, F.lit("Affecté automatiquement")).when(done, F.lit("Affecté automatiquement avec contrôle requis")).otherwise(F.coalesce("reason", none))
     return met.select(
-        "lot_id", "pdf_name", status.alias("status"), "start_page", "end_page", "page_count",
-        F.col("c.row_number").alias("best_source_row"),
-        *[v.alias(k) for k, v in _shared().items()],
-        *[F.coalesce(F.col(f"c.{k}"), F.lit("")).alias(f"best_{k}") for k in linkage.ROW_KEY],
-        told.alias("reason"),
+        "lot_id", F.col("file_name").alias("pdf_name"), status.alias("status"), "start_page", "end_page", "page_count",
+        F.col("row_number").alias("best_source_row"),
+        *[v.alias(k) for k, v in _shared(found).items()],
+        *[F.coalesce(F.col(k), F.lit("")).alias(f"best_{k}") for k in linkage.ROW_KEY],
+        said.alias("reason"),
     )
 
 
+def unassigned(own: DataFrame, others: DataFrame, candidates: DataFrame, side: str, key: str) -> DataFrame:
+    """lot_id and key of own that were not assigned. candidates: as of assignment.settled."""
+    left = candidates.where((F.col(f"rank_for_{side}") == 1) & F.col(f"{side}_partner").isNull()).select("lot_id", key)
+    return left.unionByName(own.join(others.select("lot_id"), "lot_id", "left_anti").select("lot_id", key))
+
+
 def summary(row_lines: DataFrame, documents: DataFrame) -> DataFrame:
     """Counts for each lot (A4)."""
     status = F.col("status")

@@ -70,13 +70,13 @@ def reconcile_lots(pages: DataFrame, rows: DataFrame, is_start: Column, compact:
     ranges = segments.ranges_with_leading(pages, is_start).withColumn("file_name", F.concat(F.col("doc_index").cast("string"), F.lit(".pdf")))
     documents = segments.with_first_page(ranges, pages.select("lot_id", "page_number", F.col(compact).alias("first_page_compact")))
     flagged = linkage.duplicate_rows(rows)
-    # used three times, and similarity is costly: kept, without the texts that nothing needs any more
+    # used more than once, and similarity is costly: kept, without the texts that nothing needs any more
     candidates = kept(linkage.recon_candidates(linkage.pairs(documents, flagged).drop("first_page_compact", "client_window", "distributor_window")))
-    verdicts = kept(assignment.assign(candidates))
-    row_lines = reconciliation.row_output(rows, candidates, verdicts)
-    document_lines = reconciliation.document_output(documents, candidates, verdicts)
+    settled = reconciliation.settled(candidates)
+    row_lines = reconciliation.row_output(rows, documents, settled)
+    document_lines = reconciliation.document_output(documents, rows, settled)
     return {
-        "documents": documents, "candidates": candidates, "verdicts": verdicts, "rows": row_lines,
+        "documents": documents, "candidates": candidates, "verdicts": assignment.verdicts(settled), "rows": row_lines,
         "document_lines": document_lines, "summary": reconciliation.summary(row_lines, documents),
     }
 

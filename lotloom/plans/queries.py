@@ -108,10 +108,20 @@ def number_link(spark, sf_dir):
     return linkage.contained_links(docs, keys, "doc_id", "page", "order", "key").distinct()
 
 
+#: Lines that one task takes, so that its memory does not grow with the table.
+LINES_AT_ONCE = 125_000
+
+
+def _by_lot(lines: DataFrame) -> DataFrame:
+    """lines dealt over tasks by lot: all that follows stays there, as it meets, is ranked and counted in its lot."""
+    n = max(lines.sparkSession.sparkContext.defaultParallelism, lines.count() // LINES_AT_ONCE + 1)
+    return lines.repartition(n, "l_orderkey")
+
+
 def _lot_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Pages and manifest rows: each order is a lot, its lines are pages, and those of a larger quantity rows."""
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")).cast("long")
-    lines = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("lot_id"), place.alias("n"), "l_partkey", "l_suppkey", "l_quantity")
+    lines = _by_lot(_t(spark, sf_dir, "lineitem")).select(F.col("l_orderkey").alias("lot_id"), place.alias("n"), "l_partkey", "l_suppkey", "l_quantity")
     pages = lines.select("lot_id", F.col("n").alias("page_number"), (F.col("l_partkey") % 4 > 0).alias("is_new_document"), F.when(F.col("l_suppkey") % 10 > 0, F.lit("x")).alias("compact"))
     key = lambda k: (F.col("l_suppkey") % k).cast("string")
     rows = lines.where("l_quantity > 10").select(
@@ -202,18 +212,16 @@ def mutual_best(spark, sf_dir):
 
 
 def _reconciled(spark, sf_dir) -> dict[str, DataFrame]:
-    from lotloom.plans.lots import kept
-
+    """Nothing is kept: pairs are made from numbers where their lot lies, and each output reads them once."""
     pages, rows = _lot_tables(spark, sf_dir)
     documents = segments.ranges_with_leading(pages, F.col("is_new_document")).withColumn("file_name", F.concat(F.col("doc_index").cast("string"), F.lit(".pdf")))
-    candidates = kept(linkage.recon_candidates(_lot_pairs(documents, linkage.duplicate_rows(rows))))
-    return {"documents": documents, "rows": rows, "candidates": candidates, "verdicts": kept(assignment.assign(candidates))}
+    return {"documents": documents, "rows": rows, "candidates": linkage.recon_candidates(_lot_pairs(documents, linkage.duplicate_rows(rows)))}
 
 
 def recon_rank(spark, sf_dir):
     """All candidates with scores and both ranks, and whether the second of a document has the first one's score."""
     c = _reconciled(spark, sf_dir)["candidates"]
-    following = F.lead("global_score").over(Window.partitionBy("lot_id", "doc_index").orderBy("rank_for_doc"))
+    following = F.lead("global_score").over(Window.partitionBy("lot_id", "doc_index").orderBy(*linkage.best_first()))
     return c.select(
         "lot_id", "doc_index", "row_number", "global_score", "global_percent", "is_exact", "client_percent", "distributor_percent", F.array_join("verify_fields", "; ").alias("verify"),
         F.col("rank_for_doc").cast("long").alias("rank_for_doc"), F.col("rank_for_row").cast("long").alias("rank_for_row"), F.coalesce(F.col("global_score") == following, F.lit(False)).alias("tie"),
@@ -221,34 +229,33 @@ def recon_rank(spark, sf_dir):
 
 
 def greedy_assign(spark, sf_dir):
-    return _reconciled(spark, sf_dir)["verdicts"]
+    return assignment.assign(_reconciled(spark, sf_dir)["candidates"])
 
 
 def unassigned_rows(spark, sf_dir):
     r = _reconciled(spark, sf_dir)
-    given = r["verdicts"].where("side = 'row' AND partner IS NOT NULL").select("lot_id", F.col("id").alias("row_number"))
-    return r["rows"].join(given, ["lot_id", "row_number"], "left_anti").select("lot_id", "row_number")
+    return reconciliation.unassigned(r["rows"], r["documents"], assignment.settled(r["candidates"]), "row", "row_number")
 
 
 def unassigned_docs(spark, sf_dir):
     r = _reconciled(spark, sf_dir)
-    given = r["verdicts"].where("side = 'doc' AND partner IS NOT NULL").select("lot_id", F.col("id").alias("doc_index"))
-    return r["documents"].join(given, ["lot_id", "doc_index"], "left_anti").select("lot_id", F.col("doc_index").cast("long").alias("doc_index"))
+    left = reconciliation.unassigned(r["documents"], r["rows"], assignment.settled(r["candidates"]), "doc", "doc_index")
+    return left.select("lot_id", F.col("doc_index").cast("long").alias("doc_index"))
 
 
 def row_output(spark, sf_dir):
     r = _reconciled(spark, sf_dir)
-    return reconciliation.row_output(r["rows"], r["candidates"], r["verdicts"])
+    return reconciliation.row_output(r["rows"], r["documents"], reconciliation.settled(r["candidates"]))
 
 
 def document_output(spark, sf_dir):
     r = _reconciled(spark, sf_dir)
-    return reconciliation.document_output(r["documents"], r["candidates"], r["verdicts"])
+    return reconciliation.document_output(r["documents"], r["rows"], reconciliation.settled(r["candidates"]))
 
 
 def recon_summary(spark, sf_dir):
     r = _reconciled(spark, sf_dir)
-    return reconciliation.summary(reconciliation.row_output(r["rows"], r["candidates"], r["verdicts"]), r["documents"])
+    return reconciliation.summary(reconciliation.row_output(r["rows"], r["documents"], reconciliation.settled(r["candidates"])), r["documents"])
 
 
 def _lots(spark, sf_dir) -> dict[str, DataFrame]:
