@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotloom.functions import boxes, text
@@ -79,23 +82,35 @@ def line_threshold(words: DataFrame, on: str = "doc_id") -> DataFrame:
 def with_lines(words: DataFrame, on: str = "doc_id") -> DataFrame:
     """words with line_num from their boxes (J19): each joins the nearest line within reach, and moves its centre.
 
-    The running centres depend on the order of words, so a page is one group; block_num and par_num become 0.
+    The running centres depend on the order of words, so a page is read by one task; pages follow one another there,
+    and only numbers are looked at one by one. block_num and par_num become 0.
     """
+    page = Window.partitionBy(on).orderBy(*[F.col(c).asc_nulls_last() for c in ("y", "x", "id", "height", "text")])
+    whole = Window.partitionBy(on)
+    reach = F.greatest(F.lit(8.0), F.median("height").over(whole) * 0.6)
+    read = words.withColumns({"_at": F.row_number().over(page), "_centre": F.col("y") + F.col("height") / 2}).withColumn("_reach", reach)
+    names = words.columns
 
-    def lines(pdf: pd.DataFrame) -> pd.DataFrame:
-        reach = max(8.0, float(pdf.height.median()) * 0.6)
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres: list[float] = []
-        number = {}
-        for w in pdf.sort_values(["y", "x", "id"]).itertuples():
-            c = w.y + w.height / 2
-            near = [(abs(c - m), i) for i, m in enumerate(centres) if abs(c - m) <= reach]
-            if near:
-                i = min(near)[1]
-                centres[i] = (centres[i] + c) / 2
-            else:
-                i = len(centres)
-                centres.append(c)
-            number[w.Index] = i
-        return pdf.assign(block_num=0, par_num=0, line_num=pd.Series(number))
-
-    return words.groupBy(on).applyInPandas(lines, words.schema)
+        for batch in batches:
+            number = []
+            for at, c, most in zip(*(batch.column(n).to_pylist() for n in ("_at", "_centre", "_reach")), strict=True):
+                if at == 1:
+                    centres = []
+                best, i, c = most, -1, math.nan if c is None else c
+                for j, m in enumerate(centres):
+                    far = abs(c - m)
+                    if far < best or (far == best and i < 0):
+                        best, i = far, j
+                if i < 0:
+                    i = len(centres)
+                    centres.append(c)
+                else:
+                    centres[i] = (centres[i] + c) / 2
+                number.append(i)
+            zero = pa.array([0] * len(number))
+            new = {"line_num": pa.array(number), "block_num": zero, "par_num": zero}
+            yield pa.RecordBatch.from_arrays([new[n].cast(batch.schema.field(n).type) if n in new else batch.column(n) for n in names], names=names)
+
+    return read.mapInArrow(lines, words.schema)
