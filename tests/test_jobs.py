@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lotloom.functions.similarity import window_similarity
-from lotloom.operators import linkage
+from lotloom.operators import descriptors, linkage
 from lotloom.plans.lots import SKIPPED, Config, analyze_lots, reconcile_lots, separate
 from lotloom.sources import files
 from lotloom.streaming.pages import document_events
@@ -147,3 +147,19 @@ def test_document_events_forget_complete_lots(spark, tmp_path):
     documents = sorted((r.doc_index, r.start_page, r.end_page) for r in got.where("type = 'document'").collect())
     assert documents == [(0, 1, 1), (1, 1, 1), (1, 2, 3), (2, 4, 4)]
     assert got.where("type = 'complete'").count() == 2 and got.where("type = 'provisional_document'").count() == 3
+
+
+def test_nearest_two_in_blocks(spark, monkeypatch):
+    """Blocks of a few descriptors against all pairs: ties, own ids, a null descriptor, groups of one and two."""
+    rng = random.Random(4)
+    rows = [(i, 0 if i < 60 else 1 if i < 62 else i, None if i == 7 else [rng.getrandbits(3), rng.choice((-1, 5, 1 << 62))]) for i in range(64)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, descriptor array<long>")
+    monkeypatch.setattr(descriptors, "BLOCK", 9)
+    out = descriptors.nearest_two(df.withColumnRenamed("vec_id", "query_id"), df.withColumnRenamed("vec_id", "train_id"), "label")
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    far = lambda a, b: None if a is None or b is None else sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a, b, strict=True))
+    expected = set()
+    for i, label, bits in rows:
+        near = sorted(((d := far(bits, other)) is None, d or 0, j, d) for j, own, other in rows if own == label and j != i)[:2]
+        expected |= {(label, i, j, d, rank) for rank, (_, _, j, d) in enumerate(near, 1)}
+    assert {tuple(r) for r in out.collect()} == expected
