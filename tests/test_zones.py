@@ -43,3 +43,13 @@ def test_lines_of_many_pages_without_a_call_for_each(spark):
                 centres.append(c)
             expected[page, w[1]] = (0, 0, i, w[2])
     assert got == expected
+
+
+def test_confidence_does_not_depend_on_the_order_of_words(spark):
+    """Sums of these differ in the last bit with their order."""
+    rng = random.Random(5)
+    words = [(page, i, "A", rng.randrange(50) / 50.0, 100 + rng.randrange(50), 100 + rng.randrange(20), rng.randint(5, 35), rng.randint(4, 14), 0, 0, i) for page in range(200) for i in range(6)]
+    schema = "doc_id int, id int, text string, confidence double, x int, y int, width int, height int, block_num int, par_num int, line_num int"
+    zone = spark.createDataFrame([(page, "z", "text", 100, 100, 50, 20, True) for page in range(200)], "doc_id int, zone_name string, zone_type string, x int, y int, width int, height int, required boolean")
+    got = [{r.doc_id: r.confidence for r in zones.extract_fields(spark.createDataFrame(w, schema).coalesce(1), zone).collect()} for w in (words, words[::-1])]
+    assert len(got[0]) == 200 and got[0] == got[1]
