@@ -127,10 +127,22 @@ def inlier_ratio(inliers: DataFrame, within: str) -> DataFrame:
 
 
 def outside_regions(keypoints: DataFrame, regions: DataFrame, within: str) -> DataFrame:
-    """Keypoints in no ignored region of their template."""
-    r = regions.select(within, *[F.col(c).alias(f"r_{c}") for c in ("x", "y", "width", "height")])
-    hit = keypoints.join(r, within).where(boxes.inside(F.col("x"), F.col("y"), *[F.col(f"r_{c}") for c in ("x", "y", "width", "height")]))
-    return keypoints.join(hit.select(within, "kp_idx").distinct(), [within, "kp_idx"], "left_anti")
+    """Keypoints in no ignored region of their template.
+
+    Regions lie on a grid whose cells are as wide as they are (a power of two for each of them), so that each is in
+    four cells at most; a place of keypoints meets the different regions of its own cell only, once.
+    """
+    names = ("x", "y", "width", "height")
+    r = regions.select(within, *[F.col(c).alias(f"r_{c}") for c in names]).where("r_width >= 0 AND r_height >= 0").distinct()
+    side = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest("r_width", "r_height", F.lit(1)).cast("double"))))
+    cell = lambda v, size: F.floor(v.cast("double") / size)
+    sized = r.withColumn("_side", side)
+    span = lambda at, by: F.sequence(cell(F.col(at), F.col("_side")), cell(F.col(at) + F.col(by), F.col("_side")))
+    laid = sized.withColumn("_cx", F.explode(span("r_x", "r_width"))).withColumn("_cy", F.explode(span("r_y", "r_height")))
+    places = keypoints.select(within, "x", "y").distinct().join(sized.select(within, "_side").distinct(), within)
+    met = places.withColumns({"_cx": cell(F.col("x"), F.col("_side")), "_cy": cell(F.col("y"), F.col("_side"))}).join(laid, [within, "_side", "_cx", "_cy"])
+    hit = met.where(boxes.inside(F.col("x"), F.col("y"), *[F.col(f"r_{c}") for c in names])).select(within, "x", "y").distinct()
+    return keypoints.join(hit, [within, "x", "y"], "left_anti").select(*keypoints.columns)
 
 
 def stability(projected: DataFrame, detected: DataFrame, within: str, epsilon: int = 5) -> DataFrame:

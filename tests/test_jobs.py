@@ -163,3 +163,16 @@ def test_nearest_two_in_blocks(spark, monkeypatch):
         near = sorted(((d := far(bits, other)) is None, d or 0, j, d) for j, own, other in rows if own == label and j != i)[:2]
         expected |= {(label, i, j, d, rank) for rank, (_, _, j, d) in enumerate(near, 1)}
     assert {tuple(r) for r in out.collect()} == expected
+
+
+def test_outside_regions_meet_in_cells(spark):
+    """Regions of all sizes, borders, negative places and nulls, against every pair; only cells meet."""
+    rng = random.Random(6)
+    points = [(rng.choice("ab"), i, rng.randint(-40, 200), rng.randint(-40, 200)) for i in range(400)] + [("a", 400, None, 3), ("c", 401, 1, 1)]
+    areas = [(rng.choice("ab"), rng.randint(-40, 200), rng.randint(-40, 200), rng.choice((0, 1, 3, 8, 17, 64)), rng.choice((0, 2, 5, 16, 40))) for _ in range(30)]
+    kp = spark.createDataFrame(points, "template string, kp_idx int, x int, y int")
+    regions = spark.createDataFrame(areas, "template string, x int, y int, width int, height int")
+    out = descriptors.outside_regions(kp, regions, "template")
+    got = sorted(r.kp_idx for r in out.collect())
+    assert got == sorted(i for t, i, x, y in points if not any(t == u and x is not None and a <= x <= a + w and b <= y <= b + h for u, a, b, w, h in areas)) and out.columns == kp.columns
+    assert "_cx" in out._jdf.queryExecution().optimizedPlan().toString()
