@@ -137,7 +137,12 @@ def strict_assignments(documents: DataFrame, candidates: DataFrame) -> DataFrame
     accepted = candidates.where("qualifies").groupBy("lot_id", "doc_index").agg(
         F.count(F.lit(1)).alias("n_accepted"), F.min("row_number").alias("claimed_row")
     )
-    claims = documents.join(accepted, ["lot_id", "doc_index"], "left").withColumn("n_accepted", F.coalesce("n_accepted", F.lit(0)))
+    # met by lot, where both lie: looking through a lot's accepted documents is less than the pairs they came from
+    of_lot = accepted.groupBy("lot_id").agg(F.collect_list(F.struct("doc_index", "n_accepted", "claimed_row")).alias("_accepted"))
+    own = F.get(F.filter("_accepted", lambda a: a["doc_index"] == F.col("doc_index")), F.lit(0))
+    claims = documents.join(of_lot, "lot_id", "left").withColumn("_own", own).withColumns(
+        {"n_accepted": F.coalesce("_own.n_accepted", F.lit(0)), "claimed_row": F.col("_own.claimed_row")}
+    ).drop("_accepted", "_own")
     claims = claims.withColumn("claimed_row", F.when(F.col("n_accepted") == 1, F.col("claimed_row")))
     n_claims = F.when(F.col("claimed_row").isNotNull(), F.count(F.lit(1)).over(Window.partitionBy("lot_id", "claimed_row")))
     reason = (

@@ -115,11 +115,11 @@ def summary(row_lines: DataFrame, documents: DataFrame) -> DataFrame:
 _ISSUE = "lot_id", "code", "message", "severity", "doc_index", "page_number", "row_number"
 
 
-def _issues(df: DataFrame, code: str, message: Column, severity: str = "error") -> DataFrame:
+def _issues(df: DataFrame, code: Column, message: Column, severity: str = "error") -> DataFrame:
     none = F.lit(None).cast("long")
     has = set(df.columns)
     return df.select(
-        "lot_id", F.lit(code).alias("code"), message.alias("message"), F.lit(severity).alias("severity"),
+        "lot_id", code.alias("code"), message.alias("message"), F.lit(severity).alias("severity"),
         *[(F.col(c).cast("long") if c in has else none).alias(c) for c in _ISSUE[4:]],
     )
 
@@ -134,20 +134,30 @@ def validation_issues(pages: DataFrame, is_start: Column, documents: DataFrame,
     n_rows = rows.groupBy("lot_id").agg(F.count(F.lit(1)).alias("n_rows"))
     counts = n_docs.join(n_rows, "lot_id", "full").na.fill(0, ["n_docs", "n_rows"]).where("n_docs <> n_rows")
     starts = segments.start_issues(pages, is_start)
+    none = F.col("code") == "no_start_pages"
+    said = F.when(none, F.lit("No document start pages were detected")).otherwise(text_("First detected document starts at page ", F.col("page_number"), ", not page 1"))
     gaps = segments.long_gaps(pages.where(is_start), segments.totals(pages, "lot_id"))
     gaps = gaps.withColumn("page_number", F.col("gap_start"))
-    of_page = claims.withColumn("page_number", F.col("start_page")).select("lot_id", "doc_index", "page_number", "n_accepted", "first_page_compact", "n_claims", "claimed_row")
-    read = of_page.where("first_page_compact IS NOT NULL").drop("row_number")
-    twice = claims.where("n_claims > 1").select("lot_id", "doc_index", F.col("claimed_row").alias("row_number"))
+    # what documents lack, in one reading of the claims: they come from all pairs
+    unread, doc = F.col("first_page_compact").isNull(), F.col("doc_index")
+    issue = lambda code, message, row=None: F.struct(
+        F.lit(code).alias("code"), message.alias("message"), F.col("start_page" if row is None else row).cast("long").alias("at"), F.lit(row is None).alias("of_page")
+    )
+    lacks = F.array(
+        F.when(unread, issue("missing_first_page_ocr", text_("Document ", doc, " has no first-page OCR payload"))),
+        F.when(~unread & (F.col("n_accepted") == 0), issue("no_match", text_("Document ", doc, " has no valid CSV match"))),
+        F.when(~unread & (F.col("n_accepted") > 1), issue("ambiguous_match", text_("Document ", doc, " has ", F.col("n_accepted"), " valid CSV candidates"))),
+        F.when(F.col("n_claims") > 1, issue("duplicate_row_assignment", text_("CSV row ", F.col("claimed_row"), " is assigned to multiple documents"), "claimed_row")),
+    )
+    lacking = claims.select("lot_id", "doc_index", F.explode(F.filter(lacks, lambda i: i.isNotNull())).alias("i")).select(
+        "lot_id", "doc_index", F.col("i.code").alias("code"), F.col("i.message").alias("message"),
+        F.when(F.col("i.of_page"), F.col("i.at")).alias("page_number"), F.when(~F.col("i.of_page"), F.col("i.at")).alias("row_number"),
+    )
     parts = [
-        _issues(counts, "document_count_mismatch", text_("Detected ", F.col("n_docs"), " documents for ", F.col("n_rows"), " CSV rows")),
-        _issues(starts.where("code = 'no_start_pages'"), "no_start_pages", F.lit("No document start pages were detected")),
-        _issues(starts.where("code <> 'no_start_pages'"), "leading_pages_before_first_start", text_("First detected document starts at page ", F.col("page_number"), ", not page 1")),
-        _issues(gaps, "long_gap_without_start", text_(F.col("gap_length"), " pages without a new document between pages ", F.col("gap_start"), " and ", F.col("gap_end")), "warning"),
-        _issues(of_page.where("first_page_compact IS NULL"), "missing_first_page_ocr", text_("Document ", F.col("doc_index"), " has no first-page OCR payload")),
-        _issues(read.where("n_accepted = 0"), "no_match", text_("Document ", F.col("doc_index"), " has no valid CSV match")),
-        _issues(read.where("n_accepted > 1"), "ambiguous_match", text_("Document ", F.col("doc_index"), " has ", F.col("n_accepted"), " valid CSV candidates")),
-        _issues(twice, "duplicate_row_assignment", text_("CSV row ", F.col("row_number"), " is assigned to multiple documents")),
+        _issues(counts, F.lit("document_count_mismatch"), text_("Detected ", F.col("n_docs"), " documents for ", F.col("n_rows"), " CSV rows")),
+        _issues(starts, F.col("code"), said),
+        _issues(gaps, F.lit("long_gap_without_start"), text_(F.col("gap_length"), " pages without a new document between pages ", F.col("gap_start"), " and ", F.col("gap_end")), "warning"),
+        _issues(lacking, F.col("code"), F.col("message")),
     ]
     out = parts[0]
     for p in parts[1:]:

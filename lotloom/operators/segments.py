@@ -21,12 +21,22 @@ def totals(pages: DataFrame, lot: str) -> DataFrame:
     return pages.groupBy(lot).agg(F.count(F.lit(1)).alias("total_pages"))
 
 
-def ranges(pages: DataFrame, is_start: Column, lot: str = "lot_id", page: str = "page_number") -> DataFrame:
-    """Documents from each start to before the next (W1); pages before the first start belong to none."""
-    starts = _numbered(pages.where(is_start), lot, page).join(totals(pages, lot), lot)
+def ranges(pages: DataFrame, is_start: Column, lot: str = "lot_id", page: str = "page_number", first: Column | None = None) -> DataFrame:
+    """Documents from each start to before the next (W1); pages before the first start belong to none.
+
+    first: a column of the first page that comes along, where a page has one row, without meeting the pages again.
+    """
+    starts = pages.where(is_start)
+    if first is None:
+        marked, along = _numbered(starts, lot, page), []
+    else:
+        order = Window.partitionBy(lot).orderBy(page)
+        once = starts.groupBy(lot, page).agg(F.min(first).alias("_first"))
+        marked, along = once.withColumn("doc_index", F.row_number().over(order)).withColumn("next", F.lead(page).over(order)), [F.col("_first").alias("first_page")]
+    marked = marked.join(totals(pages, lot), lot)
     end = F.coalesce(F.col("next") - 1, F.col("total_pages"))
-    return starts.select(
-        lot, "doc_index", F.col(page).alias("start_page"), end.cast("long").alias("end_page"), (end - F.col(page) + 1).cast("long").alias("page_count")
+    return marked.select(
+        lot, "doc_index", F.col(page).alias("start_page"), end.cast("long").alias("end_page"), (end - F.col(page) + 1).cast("long").alias("page_count"), *along
     )
 
 

@@ -141,7 +141,7 @@ def _lot_pairs(documents: DataFrame, rows: DataFrame) -> DataFrame:
 
 def _strict(spark, sf_dir) -> dict[str, DataFrame]:
     pages, rows = _lot_tables(spark, sf_dir)
-    documents = segments.with_first_page(segments.ranges(pages, F.col("is_new_document")), pages.select("lot_id", "page_number", F.col("compact").alias("first_page_compact")))
+    documents = segments.ranges(pages, F.col("is_new_document"), first=F.col("compact")).withColumnRenamed("first_page", "first_page_compact")
     candidates = linkage.strict_candidates(_lot_pairs(documents.where("first_page_compact IS NOT NULL"), rows))
     claims = linkage.strict_assignments(documents, candidates)
     issues = reconciliation.validation_issues(pages, F.col("is_new_document"), documents, rows, claims)

@@ -80,3 +80,20 @@ def test_lots_with_one_side_only(spark):
     out = reconcile_lots(pages, rows, F.col("start"))
     assert {r.lot_id: (r.diagnostic_reason, r.match_type) for r in out["rows"].collect()}["c"] == ("Aucun PDF candidat disponible", "none")
     assert {r.lot_id: (r.reason, r.best_commande) for r in out["document_lines"].collect()}["b"] == ("Aucune ligne candidate n'a été trouvée pour ce PDF", "")
+
+
+@pytest.mark.parametrize("name", ["strict_rank", "duplicate_claims", "duplicate_rows"])
+def test_strict_validation_stays_in_its_lot(spark, name):
+    plan = queries.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("FileScan")
+
+
+def test_issues_read_the_pairs_once(spark):
+    """Only claims have the signs of pairs; every kind of issue that comes from them is told in one reading."""
+    plan = queries.queries()["strict_issues"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list(") == 1
+
+
+def test_tasks_grow_with_the_lines(spark, monkeypatch):
+    monkeypatch.setattr(queries, "LINES_AT_ONCE", 500)
+    assert queries.duplicate_rows(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 12
